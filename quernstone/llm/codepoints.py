@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are laid out at once.  A longer single text forms a block of its own.
 BLOCK_BYTES = 3_000_000
@@ -86,7 +87,7 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
     """(first row, last row + 1, block) over all rows, each block of about ``limit`` bytes."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    sizes = np.cumsum(np.asarray(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), np.int64))
+    sizes = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), np.int64))
     at = 0
     while at < len(texts):
         done = sizes[at - 1] if at else 0

@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import tokens
+from . import spans, tokens
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_ids": p7_ids}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.Shared(table(spark, sf, "documents")).pairs()
+
+
+def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.Shared(table(spark, sf, "documents")).report()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p9_found, p9_shared)}
 
 ORACLES: dict[str, str] = {}
