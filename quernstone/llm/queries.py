@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import spans, tokens
+from . import leaks, spans, tokens
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(table(spark, sf, "documents"))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = leaks.find(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return found.where(f"run >= {leaks.LEAST}").select("doc_id", "item_id")
+
+
+def p8_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.find(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return spans.Shared(table(spark, sf, "documents")).pairs()
 
@@ -22,6 +31,6 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
     return spans.Shared(table(spark, sf, "documents")).report()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p9_found, p9_shared)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p8_found, p8_overlaps, p9_found, p9_shared)}
 
 ORACLES: dict[str, str] = {}
