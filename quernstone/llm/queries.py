@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..tables import table
-from . import leaks, spans, tokens
+from . import leaks, places, spans, tokens
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    postings = table(spark, sf, "criterion_postings").select("id", F.from_json("locations_json", "array<string>").alias("labels"))
+    known = table(spark, sf, "index_rows").select("id", F.explode("places.country").alias("country"))
+    return places.read_labels(postings, table(spark, sf, "gazetteer_cities"), known)
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,6 +38,6 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
     return spans.Shared(table(spark, sf, "documents")).report()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p8_found, p8_overlaps, p9_found, p9_shared)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p7_ids, p8_found, p8_overlaps, p9_found, p9_shared)}
 
 ORACLES: dict[str, str] = {}
