@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import leaks, places, spans, tokens
+from . import leaks, markup, places, spans, tokens
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -17,6 +17,15 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return places.read_labels(postings, table(spark, sf, "gazetteer_cities"), known)
 
 
+def p4_clean_text(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.clean(table(spark, sf, "criterion_postings"), "id", "description", "board_id").withColumn("markup", F.concat_ws(",", "markup"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    cleaned = markup.clean(table(spark, sf, "criterion_postings"), "id", "description", "board_id")
+    return cleaned.select("id", F.explode("markup").alias("markup")).distinct()
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(table(spark, sf, "documents"))
 
@@ -38,6 +47,6 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
     return spans.Shared(table(spark, sf, "documents")).report()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p7_ids, p8_found, p8_overlaps, p9_found, p9_shared)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p4_clean_text, p7_ids, p8_found, p8_overlaps, p9_found, p9_shared)}
 
 ORACLES: dict[str, str] = {}
