@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import leaks, markup, places, spans, tokens
+from . import langs, leaks, markup, places, spans, tokens
+
+
+def _languages(spark: SparkSession, sf: str) -> DataFrame:
+    return langs.classify(table(spark, sf, "criterion_postings"), "id", "description", "title", "lang")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return langs.mislabelled(_languages(spark, sf))
+
+
+def p1_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return _languages(spark, sf).select("id", "main", F.posexplode("parts").alias("part", "p")).select("id", "main", "part", "p.*")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,6 +59,6 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
     return spans.Shared(table(spark, sf, "documents")).report()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p4_clean_text, p7_ids, p8_found, p8_overlaps, p9_found, p9_shared)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_parts, p2_found, p4_found, p4_clean_text, p7_ids, p8_found, p8_overlaps, p9_found, p9_shared)}
 
 ORACLES: dict[str, str] = {}
