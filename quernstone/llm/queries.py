@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import langs, leaks, markup, places, spans, tokens
+from . import langs, leaks, markup, places, similar, spans, tokens
 
 
 def _languages(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,6 +38,18 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return cleaned.select("id", F.explode("markup").alias("markup")).distinct()
 
 
+def _reposts(spark: SparkSession, sf: str) -> similar.Similar:
+    return similar.Similar(table(spark, sf, "criterion_postings"), "id", "description", size=3, threshold=0.6, least_words=50)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _reposts(spark, sf).pairs()
+
+
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return _reposts(spark, sf).groups()
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(table(spark, sf, "documents"))
 
@@ -59,6 +71,6 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
     return spans.Shared(table(spark, sf, "documents")).report()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_parts, p2_found, p4_found, p4_clean_text, p7_ids, p8_found, p8_overlaps, p9_found, p9_shared)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_parts, p2_found, p4_found, p4_clean_text, p6_found, p6_groups, p7_ids, p8_found, p8_overlaps, p9_found, p9_shared)}
 
 ORACLES: dict[str, str] = {}
