@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import langs, leaks, markup, places, similar, spans, tokens
+from . import langs, leaks, markup, percentiles, places, similar, spans, tokens
 
 
 def _languages(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,6 +29,22 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return places.read_labels(postings, table(spark, sf, "gazetteer_cities"), known)
 
 
+def p3_by_run(spark: SparkSession, sf: str) -> DataFrame:
+    return percentiles.by(table(spark, sf, "freshness_samples"), ["run_id"])
+
+
+def p3_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    return percentiles.by(table(spark, sf, "freshness_samples"), ["source"])
+
+
+def p3_overall(spark: SparkSession, sf: str) -> DataFrame:
+    return percentiles.by(table(spark, sf, "freshness_samples"), [])
+
+
+def p3_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return percentiles.windows(table(spark, sf, "freshness_samples"))
+
+
 def p4_clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return markup.clean(table(spark, sf, "criterion_postings"), "id", "description", "board_id").withColumn("markup", F.concat_ws(",", "markup"))
 
@@ -71,6 +87,6 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
     return spans.Shared(table(spark, sf, "documents")).report()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_parts, p2_found, p4_found, p4_clean_text, p6_found, p6_groups, p7_ids, p8_found, p8_overlaps, p9_found, p9_shared)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_parts, p2_found, p3_by_run, p3_by_source, p3_overall, p3_windows, p4_found, p4_clean_text, p6_found, p6_groups, p7_ids, p8_found, p8_overlaps, p9_found, p9_shared)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {**percentiles.SQL}
