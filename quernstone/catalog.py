@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import snapshots
+from .plans import search_queries
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +29,6 @@ def query(sql: str | None = None):
 @query(snapshots.CHANGES_SQL)
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.changes(table(spark, sf, "board_listings"), table(spark, sf, "board_crawls"))
+
+
+search_queries.register(query)

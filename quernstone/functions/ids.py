@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SLUG = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
 POSTING_ID = r"^[a-z2-7]{16}$"
@@ -71,7 +72,7 @@ def canonical(value: object) -> str:
     raise TypeError(type(value).__name__)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(source: pd.Series) -> pd.Series:
     """JSON text in canonical form; null where it is no JSON."""
 

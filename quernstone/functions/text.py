@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as the stored texts mean it: Java's \s has no no-break space (fixed value).
 SPACE = r"[\s\p{Z}\x{FEFF}]"
@@ -19,12 +20,12 @@ def fold_text(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.category(c).startswith("M")).lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(text: pd.Series) -> pd.Series:
     return text.map(fold_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_name(text: pd.Series) -> pd.Series:
     """Folded, without periods and quotes, dashes as single spaces."""
 
@@ -129,7 +130,7 @@ def text_of_html(source: str) -> str:
     return to.done()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(source: pd.Series) -> pd.Series:
     return source.map(text_of_html, na_action="ignore")
 
