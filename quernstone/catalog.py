@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import snapshots
-from .plans import search_queries
+from .plans import lifecycle_queries, search_queries
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,4 +31,5 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.changes(table(spark, sf, "board_listings"), table(spark, sf, "board_crawls"))
 
 
-search_queries.register(query)
+for _part in (search_queries, lifecycle_queries):
+    _part.register(query)
