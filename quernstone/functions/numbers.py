@@ -26,19 +26,18 @@ def _probability(c: Column) -> Column:
 
 def read_yes_no(answer: Column) -> Column:
     """``{"type":"noul","noul":p}`` as [no, yes] in hundredths, null for anything else."""
-    p = F.try_variant_get(F.try_parse_json(answer), "$.noul", "double")
-    kind = F.try_variant_get(F.try_parse_json(answer), "$.type", "string")
-    return F.when((kind == "noul") & _probability(p), hundredths(F.array(1.0 - p, p)))
+    read = F.from_json(answer, "type string, noul double")
+    return F.when((read["type"] == "noul") & _probability(read["noul"]), hundredths(F.array(1.0 - read["noul"], read["noul"])))
 
 
 def read_choice(answer: Column, options: list[str], kind: str = "choice") -> Column:
     """The ``probabilities`` of an answer over ``options`` in hundredths, null unless it has exactly those and they sum to one."""
-    parsed = F.try_parse_json(answer)
-    given = F.try_variant_get(parsed, "$.probabilities", "map<string,double>")
+    read = F.from_json(answer, "type string, probabilities map<string,double>")
+    given = read["probabilities"]
     values = F.array(*[F.try_element_at(given, F.lit(o)) for o in options])
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
     near = F.abs(total - 1) <= F.greatest(F.lit(0.01), F.lit(len(options) * 0.005)) + 1e-9
-    ok = (F.try_variant_get(parsed, "$.type", "string") == kind) & (F.size(given) == len(options)) & F.forall(values, _probability) & near
+    ok = (read["type"] == kind) & (F.size(given) == len(options)) & F.forall(values, _probability) & near
     return F.when(F.coalesce(ok, F.lit(False)), hundredths(values))
 
 
