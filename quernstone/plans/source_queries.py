@@ -112,7 +112,8 @@ def register(query) -> None:
 
     def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
         path = f"{sf}/{name}.parquet"
-        own = windows.stream_of(spark, f"{path}/*.parquet" if os.path.isdir(path) else path, table(spark, sf, name).schema, 100)
+        one = f"{sf}/{name[:-1]}[{name[-1]}].parquet"  # a stream reads a folder or a pattern, not a file
+        own = windows.stream_of(spark, path if os.path.isdir(path) else one, table(spark, sf, name).schema, 100)
         return own.withColumn("ts", F.col("ts").cast("timestamp"))
 
     def folder(spark: SparkSession) -> str:
