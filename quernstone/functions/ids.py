@@ -48,7 +48,7 @@ def _number(x: float | int) -> str:
     if "e" in r:
         mantissa, exponent = r.split("e")
         e = int(exponent)
-        if -7 <= e < 21:
+        if -7 < e < 21:
             return format(x, f".{max(0, len(mantissa.replace('-', '').replace('.', '')) - 1 - e)}f")
         return f"{mantissa.removesuffix('.0')}e{'+' if e > 0 else '-'}{abs(e)}"
     return r

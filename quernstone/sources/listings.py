@@ -61,7 +61,6 @@ def _with_kind(rows: DataFrame, url_: Column, unlisted: Column | None = None) ->
 
 
 _COLUMNS = ["board_id", "external_id", "kind", "title", "url", "apply_url", "locations", "places", "country", "workplace", "employment_type", "department", "team", "language", "published_at", "salary", "description_html"]
-_NONE = F.lit(None).cast
 
 
 def _place(label: Column, text: Column) -> Column:
