@@ -79,7 +79,8 @@ class _Items:
         _, self.words, self.first = words(block)
         self.lookup = []
         for mask in masks:
-            h, item, at = [], [], []
+            none = np.zeros(0, np.int64)
+            h, item, at = [none.view(np.uint64)], [none], [none]
             for i in range(len(items)):
                 s = seeds(self.words[self.first[i] : self.first[i + 1]], mask)
                 h.append(s), item.append(np.full(len(s), i)), at.append(np.arange(len(s)))
