@@ -18,6 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import cut
+from .repeats import once
+
 HTML, MARKDOWN, WIKI, LATEX = "html", "markdown", "wiki", "latex"
 
 #: A subtree is a template's if it stands on so many different pages of a host, and on such a share of them.
@@ -275,6 +278,15 @@ def _kinds_and_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kinds, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "host", "text", "markup", "subtrees"])
 
 
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without markup, as they are."""
+    for batch in batches:
+        keep = pa.array([not kinds_of(t) for t in batch.column(2).to_pylist()], pa.bool_())
+        ids, hosts, texts = (c.filter(keep) for c in batch.columns)
+        n = len(ids)
+        yield pa.RecordBatch.from_arrays([ids, hosts, pa.array([[]] * n, pa.list_(pa.string())), texts, pa.array([0] * n, pa.int32())], names=["id", "host", "markup", "clean_text", "removed"])
+
+
 def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = [render(t, k, set(d or ())) for t, k, d in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
@@ -282,17 +294,19 @@ def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["id", "host", "markup", "clean_text", "removed"])
 
 
-def clean(df: DataFrame, key: str, text: str, host: str, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def clean(df: DataFrame, key: str, text: str, host: str, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, repeats: bool = False) -> DataFrame:
     """id, host, markup (sorted kinds), clean_text, removed (template subtrees left out) of each row.
 
     Null texts are empty; a text without markup stays as it is.  A null host is a host of its own.
     Null keys are kept; rows delivered twice (same key, host and text) count once.  Pages of one host with equal
-    text count as one page for the template count, so reposts make no template.
+    text count as one page for the template count, so reposts make no template.  With ``repeats``
+    rows delivered twice stay, for callers that take distinct results of their own.
     """
     c = lambda name: F.col(f"`{name}`").cast("string")
-    rows = df.select(c(key).alias("id"), F.coalesce(c(host), F.lit("")).alias("host"), F.coalesce(c(text), F.lit("")).alias("text")).distinct()
+    rows = df.select(c(key).alias("id"), F.coalesce(c(host), F.lit("")).alias("host"), F.coalesce(c(text), F.lit("")).alias("text"))
+    rows = rows if repeats else once(rows)
     read = rows.mapInArrow(_kinds_and_hashes, "id string, host string, text string, markup array<string>, subtrees array<bigint>")
-    marked = read.where("size(markup) > 0")
+    marked = cut(read.where("size(markup) > 0"))  # the part of the texts that holds markup: it is read three times below
     page = F.xxhash64("text").alias("page")
     pages = marked.select("host", page).distinct()
     of_host = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
@@ -301,5 +315,5 @@ def clean(df: DataFrame, key: str, text: str, host: str, min_pages: int = MIN_PA
     per_host = template.groupBy("host").agg(F.collect_set("subtree").alias("gone"))  # a host's template: at most 1 / min_share subtrees' worth of pages
     hit = marked.join(per_host, "host", "left").withColumn("drop", F.array_intersect("subtrees", "gone"))
     done = hit.select("id", "host", "text", "markup", "drop").mapInArrow(_rendered, "id string, host string, markup array<string>, clean_text string, removed int")
-    plain = read.where("size(markup) = 0").select("id", "host", "markup", F.col("text").alias("clean_text"), F.lit(0).alias("removed"))
+    plain = rows.mapInArrow(_plain, "id string, host string, markup array<string>, clean_text string, removed int")
     return done.unionAll(plain)

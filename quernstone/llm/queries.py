@@ -50,7 +50,7 @@ def p4_clean_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    cleaned = markup.clean(table(spark, sf, "criterion_postings"), "id", "description", "board_id")
+    cleaned = markup.clean(table(spark, sf, "criterion_postings"), "id", "description", "board_id", repeats=True)
     return cleaned.select("id", F.explode("markup").alias("markup")).distinct()
 
 
