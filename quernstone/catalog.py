@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import snapshots
-from .plans import answer_queries, lifecycle_queries, search_queries, source_queries
+from .plans import answer_queries, lifecycle_queries, more_queries, search_queries, source_queries
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,5 +31,5 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.changes(table(spark, sf, "board_listings"), table(spark, sf, "board_crawls"))
 
 
-for _part in (search_queries, lifecycle_queries, answer_queries, source_queries):
+for _part in (search_queries, lifecycle_queries, answer_queries, source_queries, more_queries):
     _part.register(query)
