@@ -142,20 +142,24 @@ class Similar:
         """h_a < h_b: sets that share a prefix shingle and whose sizes and positions allow the overlap."""
         t = self.threshold
         of = Window.partitionBy("token")
-        entries = self.index().select("*", F.min("h").over(of).alias("lo"), F.max("h").over(of).alias("hi")).where("lo < hi")
+        entries = self.index().select("*", F.min("h").over(of).alias("lo"), F.max("h").over(of).alias("hi"), F.ceil(F.count("*").over(of) / BLOCK).alias("blocks")).where("lo < hi")
         entries = entries.withColumn("block", F.floor((F.row_number().over(of.orderBy("n", "pos", "h")) - 1) / BLOCK))
-        lists = cut(entries.groupBy("token", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.collect_list(F.struct("h", "n", "pos", "b0", "b1", "b2", "b3")).alias("list")))
-        a, b = lists.select(*[F.col(c).alias(f"{c}_a" if c != "token" else c) for c in lists.columns]), lists.select(*[F.col(c).alias(f"{c}_b" if c != "token" else c) for c in lists.columns])
+        lists = cut(entries.groupBy("token", "block").agg(F.first("blocks").alias("blocks"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.collect_list(F.struct("h", "n", "pos", "b0", "b1", "b2", "b3")).alias("list")))
         # b's sizes are not under a's; of a pair of blocks the least sizes and positions bound the overlap
         need = lambda na, nb: F.ceil(F.lit(t / (1 + t)) * (na + nb) - 1e-9)
-        pairs = a.join(b, "token").where((F.col("block_a") <= F.col("block_b")) & (F.col("n0_b") * t <= F.col("n1_a") + 1e-9) & (F.least(F.col("n1_a") - F.col("p0_a"), F.col("n1_b") - F.col("p0_b")) >= need(F.col("n0_a"), F.col("n0_b"))))
+        a, b = (lists.where("blocks > 1").select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "n0", "n1", "p0", "list")]) for side in "ab")
+        pairs = a.join(b, "token").where((F.col("block_a") < F.col("block_b")) & (F.col("n0_b") * t <= F.col("n1_a") + 1e-9) & (F.least(F.col("n1_a") - F.col("p0_a"), F.col("n1_b") - F.col("p0_b")) >= need(F.col("n0_a"), F.col("n0_b"))))
+        # the pairs within a block need no join, and nearly all lists are one block
+        within = lists.where("size(list) > 1").select(F.col("list").alias("list_a"), F.col("list").alias("list_b"))
+        pairs = pairs.select("list_a", "list_b").unionAll(within)
         names = ["h", "n", "p", "0", "1", "2", "3"]
         one = [f"{x}a" for x in names]
         each = pairs.select("list_b", F.inline("list_a").alias(*one)).select(*one, F.inline("list_b").alias(*(f"{x}b" for x in names)))
         differ = sum((F.bit_count(F.col(f"{i}a").bitwiseXOR(F.col(f"{i}b"))) for i in range(4)), F.lit(0))
         fits = (F.col("na") >= F.col("nb") * t - 1e-9) & (F.col("nb") >= F.col("na") * t - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need(F.col("na"), F.col("nb")))
         fits &= differ <= F.col("na") + F.col("nb") - 2 * need(F.col("na"), F.col("nb"))
-        each = each.where((F.col("ha") != F.col("hb")) & fits)
+        # within a block each pair comes in both orders: one is enough
+        each = each.where(F.struct("na", "pa", "ha") < F.struct(F.col("nb").alias("na"), F.col("pb").alias("pa"), F.col("hb").alias("ha"))).where((F.col("ha") != F.col("hb")) & fits)
         return each.select(F.least("ha", "hb").alias("h_a"), F.greatest("ha", "hb").alias("h_b")).distinct()
 
     def links(self) -> DataFrame:
