@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .markup import kinds_of, render
+from .repeats import once
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "nl", "pt")
 #: Labelled rows the profiles are fitted on: those with the least hash of their id.
-SAMPLE = 2000
+SAMPLE = 1200
 #: N-grams of a profile, and the sizes of an n-gram (a word has a blank before and after it).
 PROFILE, SIZES = 2500, (1, 2, 3, 4)
 #: Words a part must have to say that a text holds its language.
@@ -169,17 +170,18 @@ def fit_on(df: DataFrame, key: str, text: str, lang: str, sample: int = SAMPLE)
     return fit([(_BY_NAME[r.tag], r.text) for r in rows.orderBy("h", "text").limit(sample).collect()])
 
 
-def classify(df: DataFrame, key: str, text: str, title: str, lang: str, profiles: Profiles | None = None) -> DataFrame:
+def classify(df: DataFrame, key: str, text: str, title: str, lang: str, profiles: Profiles | None = None, repeats: bool = False) -> DataFrame:
     """key, stated, main, confidence, parts (array of lang, confidence, words, text) of each row.
 
     ``parts`` are the sentences of LEAST_WORDS or more words of the text, or the title where the
     text is blank; neighbours of one language are joined.  ``main`` has the most words, ties go to the language
     met first; null if there is no part.  Null keys are left out, nulls elsewhere count as blank,
-    rows delivered twice count once.
+    rows delivered twice count once (with ``repeats`` they stay, for callers that take distinct results).
     """
     c = lambda name: F.col(f"`{name}`").cast("string")
     shared = df.sparkSession.sparkContext.broadcast(profiles or fit_on(df, key, text, lang))
-    rows = df.select(c(key).alias("id"), c(text).alias("text"), c(title).alias("title"), c(lang).alias("tag")).where("id IS NOT NULL").distinct()
+    rows = df.select(c(key).alias("id"), c(text).alias("text"), c(title).alias("title"), c(lang).alias("tag")).where("id IS NOT NULL")
+    rows = rows if repeats else once(rows)
     part = pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int32()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
