@@ -5,9 +5,10 @@ on a boundary opens a chunk, so equal stretches of two snapshots are cut alike w
 added or removed.  A chunk whose digest also stands in the neighbouring snapshot is discarded
 whole; only rows of unmatched chunks are joined and classified.
 
-Everything hangs on one shuffle by (entity, key prefix): duplicates, carried contents, chunking,
-matching and classification all find their rows in that partition.  The prefix splits an entity
-that holds most rows, and chunks never cross it.
+Everything hangs on one shuffle by (entity, split): duplicates, carried contents, chunking,
+matching and classification all find their rows in that partition.  An entity has one split for
+each SPLIT_ROWS of its rows, chosen by a hash of the key, so one that holds most rows is spread out
+and small ones keep whole chunks.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a chunk on average.
 CHUNK_ROWS = 16
-#: Leading characters of the key by which a large entity is split.
-PREFIX = 2
+#: Rows of an entity, over all its snapshots, that a split holds on average.
+SPLIT_ROWS = 500_000
 
 
 def listed_crawls(crawls: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def _digest(key: str, content: str) -> tuple[Column, Column, Column]:
     return F.count("*").alias("n"), F.bit_xor(h).alias("xor"), wide.alias("sum")
 
 
-def changes(listings: DataFrame, crawls: DataFrame, chunk_rows: int = CHUNK_ROWS, prefix: int = PREFIX) -> DataFrame:
+def changes(listings: DataFrame, crawls: DataFrame, chunk_rows: int = CHUNK_ROWS, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """board_id, crawl_id, posting_id, change_kind for each listed crawl of a board but its first.
 
     ``added``: in this listing, not in the board's previous one.  ``removed``: the reverse; the id is
@@ -50,8 +51,11 @@ def changes(listings: DataFrame, crawls: DataFrame, chunk_rows: int = CHUNK_ROWS
     rows = listings.where("crawl_id IS NOT NULL AND posting_id IS NOT NULL").select(
         F.col("crawl_id").alias("id"), "posting_id", F.when(F.col("kind") == "posting", F.col("content_hash")).alias("hash"), "recorded_at"
     )
-    rows = rows.join(at, "id").withColumn("pfx", F.substring("posting_id", 1, prefix))
-    place = ["board_id", "pfx"]
+    sizes = rows.groupBy("id").agg(F.count("*").alias("size"))
+    whole = F.coalesce(F.sum("size").over(Window.partitionBy("board_id")), F.lit(0))
+    at = at.join(sizes, "id", "left").withColumn("splits", F.ceil((whole + 1) / split_rows)).drop("size")
+    rows = rows.join(at, "id").withColumn("split", F.pmod(F.xxhash64(F.lit(5), "posting_id"), "splits")).drop("splits")
+    place = ["board_id", "split"]
     rows = rows.repartition(*place)  # the one shuffle of the listings; what follows keeps to it
     latest = F.max(F.when(F.col("hash").isNotNull(), F.struct(F.coalesce("recorded_at", F.lit(-(1 << 62))).alias("t"), "hash")))
     rows = rows.groupBy(*place, "posting_id", "seq", "id", "next_id").agg(latest["hash"].alias("own"))

@@ -58,8 +58,8 @@ def test_snapshot_changes_against_brute_force(spark, seed):
     items = [item(c, f"{chr(97 + p % 26)}{p}", r.choice("xyz"), r.choice(["posting"] * 9 + ["invalid"])) for c in range(1, 9) for p in range(120) if r.random() < 0.8]
     items = [(*i[:6], i[6] if i[5] == "posting" else None, *i[7:]) for i in items]
     crawls = [crawl(c) for c in range(1, 10)]
-    for chunk in (1, 4, 16):
-        assert run(spark, items + items[:20], crawls, chunk_rows=chunk) == brute(items, crawls)
+    for chunk, split in ((1, 500_000), (4, 90), (16, 500_000)):
+        assert run(spark, items + items[:20], crawls, chunk_rows=chunk, split_rows=split) == brute(items, crawls)
 
 
 def test_snapshot_changes_of_nothing(spark):
