@@ -89,4 +89,21 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_parts, p2_found, p3_by_run, p3_by_source, p3_overall, p3_windows, p4_found, p4_clean_text, p6_found, p6_groups, p7_ids, p8_found, p8_overlaps, p9_found, p9_shared)}
 
-ORACLES: dict[str, str] = {**percentiles.SQL}
+_WORDS = "list_transform(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
+
+ORACLES: dict[str, str] = {
+    **percentiles.SQL,
+    "p6_found": f"""WITH d AS (SELECT DISTINCT id, {_WORDS.format("description")} AS w FROM criterion_postings WHERE description IS NOT NULL),
+s AS (SELECT DISTINCT id, md5_number(array_to_string(w[k:k + 2], ' ')) AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) >= 50)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9""",
+    "p8_found": f"""WITH i AS (SELECT DISTINCT item_id, {_WORDS.format("item_text")} AS w FROM eval_items WHERE item_text IS NOT NULL),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS k FROM i)),
+d AS (SELECT DISTINCT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS k FROM d))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p9_found": """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 320),
+g AS (SELECT DISTINCT doc_id, md5_number(substr(text, k, 320)) AS g FROM (SELECT *, unnest(range(1, length(text) - 318)) AS k FROM d))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id""",
+}
