@@ -32,6 +32,7 @@ BLOCK = 128
 #: Class ids that may be broadcast (8 bytes each).
 BROADCAST_CLASSES = 1_000_000
 
+_BITS = [f"c{i}" for i in range(8)]
 _FACTORS = np.random.default_rng(6).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 
 
@@ -59,9 +60,10 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles.view(np.uint64) & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
-def parities(own: np.ndarray) -> np.ndarray:
-    """256 parity bits of a set as four longs: two sets differ in at least as many shingles as in bits."""
-    odd = np.bincount((own.view(np.uint64) >> np.uint64(40) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+def parities(own: np.ndarray, longs: int = 4) -> np.ndarray:
+    """64 parity bits a long of a set: two sets differ in at least as many shingles as in bits."""
+    bits = 64 * longs
+    odd = np.bincount((own.view(np.uint64) >> np.uint64(40) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -83,17 +85,20 @@ class Similar:
         self._classes: DataFrame | None = None
 
     def classes(self) -> DataFrame:
-        """k, h of each text that takes part."""
+        """k, h, n, c0..c7 of each text that takes part: the set's hash, size and 512 parities."""
         if self._classes is None:
             size, least = self.size, self.least_words
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    found = [(i, h) for i, _, h in shingle_sets(batch.column(1), size, least)]
-                    i, h = zip(*found) if found else ((), ())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i, pa.int64())), pa.array(h, pa.int64())], names=["k", "h"])
-
-            self._classes = cut(self.rows.mapInArrow(run, "k string, h bigint").distinct())
+                    found = [(i, h, len(own), parities(own, 8)) for i, own, h in shingle_sets(batch.column(1), size, least)]
+                    i, h, n, bits = zip(*found) if found else ((), (), (), ())
+                    c = np.stack(bits) if bits else np.zeros((0, 8), np.int64)
+                    cols = [batch.column(0).take(pa.array(i, pa.int64())), pa.array(h, pa.int64()), pa.array(n, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(cols + [pa.array(c[:, j].copy()) for j in range(8)], names=["k", "h", "n", *_BITS])
+
+            schema = "k string, h bigint, n int, " + ", ".join(f"{c} bigint" for c in _BITS)
+            self._classes = cut(self.rows.mapInArrow(run, schema).dropDuplicates(["k", "h"]))
         return self._classes
 
     def sketch(self) -> np.ndarray:
@@ -160,7 +165,13 @@ class Similar:
         fits &= differ <= F.col("na") + F.col("nb") - 2 * need(F.col("na"), F.col("nb"))
         # within a block each pair comes in both orders: one is enough
         each = each.where(F.struct("na", "pa", "ha") < F.struct(F.col("nb").alias("na"), F.col("pb").alias("pa"), F.col("hb").alias("ha"))).where((F.col("ha") != F.col("hb")) & fits)
-        return each.select(F.least("ha", "hb").alias("h_a"), F.greatest("ha", "hb").alias("h_b")).distinct()
+        found = each.select(F.least("ha", "hb").alias("h_a"), F.greatest("ha", "hb").alias("h_b")).distinct()
+        # more parities, kept a class and not an index entry, before any set is fetched
+        one = self.classes().drop("k").dropDuplicates(["h"])
+        for x in "ab":
+            found = found.join(one.withColumnsRenamed({c: f"{c}_{x}" for c in one.columns}), f"h_{x}")
+        differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _BITS), F.lit(0))
+        return found.where(differ <= F.col("n_a") + F.col("n_b") - 2 * need(F.col("n_a"), F.col("n_b"))).select("h_a", "h_b")
 
     def links(self) -> DataFrame:
         """h_a, h_b, similarity: classes that reach the threshold."""
@@ -212,7 +223,7 @@ class Similar:
 
     def pairs(self) -> DataFrame:
         """id_a < id_b: rows that are alike, those of one class among them."""
-        members, links = self.classes(), self.links()
+        members, links = self.classes().select("k", "h"), self.links()
         a, b = members.select(F.col("k").alias("ka"), F.col("h").alias("h_a")), members.select(F.col("k").alias("kb"), F.col("h").alias("h_b"))
         unlike = links.join(a, "h_a").join(b, "h_b").select(F.least("ka", "kb").alias("id_a"), F.greatest("ka", "kb").alias("id_b")).where("id_a < id_b")
         alike = a.join(b, F.expr("h_a = h_b AND ka < kb")).select(F.col("ka").alias("id_a"), F.col("kb").alias("id_b"))
@@ -239,7 +250,7 @@ class Similar:
             if not moved:
                 break
         degree = both.groupBy(F.col("h_a").alias("h")).agg(F.count("*").alias("n"))
-        out = self.classes().join(label, "h", "left").join(degree, "h", "left")
+        out = self.classes().select("k", "h").join(label, "h", "left").join(degree, "h", "left")
         return out.select(F.col("k").alias(self.key), F.coalesce("root", "h").alias("group_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
 
 
