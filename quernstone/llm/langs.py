@@ -120,14 +120,15 @@ class Profiles:
             if not sum(sizes):
                 continue
             key, n = np.unique(np.repeat(np.arange(len(own)), sizes) * len(self.ranks) + np.concatenate(flat), return_counts=True)
-            text, gram = key // len(self.ranks), key % len(self.ranks)
-            order = np.lexsort((gram, -n, text))
-            text, gram = text[order], gram[order]
+            # one sort of packed keys: text, then most frequent first, ties by the overall order
+            packed = np.sort((key // len(self.ranks) << 40) | (np.int64((1 << 20) - 1) - np.minimum(n, (1 << 20) - 1) << 20) | key % len(self.ranks))
+            text, gram = packed >> 40, packed & ((1 << 20) - 1)
             first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-            rank = np.arange(len(text)) - np.repeat(first, np.diff(np.append(first, len(text))))
-            apart = np.abs(self.ranks[gram] - rank[:, None])
-            apart[self.ranks[gram] == PROFILE] = PROFILE
-            out[at + text[first]] = np.add.reduceat(apart, first, axis=0) / np.diff(np.append(first, len(text)))[:, None]
+            many = np.diff(np.append(first, len(text)))
+            rank = (np.arange(len(text)) - np.repeat(first, many)).astype(np.int32)
+            known = self.ranks[gram]
+            apart = np.where(known == PROFILE, np.int32(PROFILE), np.abs(known - rank[:, None]))
+            out[at + text[first]] = np.add.reduceat(apart, first, axis=0, dtype=np.int64) / many[:, None]
         return out
 
     def read(self, texts: list[str]) -> list[tuple[str, float]]:
