@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..tables import cut
 
 #: Halvings a pass does at once.
-LEVELS = 7
+LEVELS = 11
 #: Intervals that may be broadcast; with more, intervals and values meet in a shuffle.
 BROADCAST_INTERVALS = 200_000
 
