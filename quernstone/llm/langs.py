@@ -110,11 +110,11 @@ class Profiles:
             found = self.cache[word] = np.array([i for g in grams(word) if (i := self.ids.get(g)) is not None], np.int64)
         return found
 
-    def distances(self, texts: list[str]) -> np.ndarray:
-        """texts x languages: the mean out-of-place distance of the known n-grams of each text."""
+    def distances(self, texts: list[list[str]]) -> np.ndarray:
+        """texts (as lower-case words) x languages: the mean out-of-place distance of the known n-grams of each text."""
         out = np.full((len(texts), len(LANGUAGES)), float(PROFILE))
         for at in range(0, len(texts), 4000):
-            own = [[self.of(w) for w in _WORD.findall(t.lower())] for t in texts[at : at + 4000]]
+            own = [[self.of(w) for w in t] for t in texts[at : at + 4000]]
             sizes = [sum(map(len, ws)) for ws in own]
             flat = [g for ws in own for g in ws]
             if not sum(sizes):
@@ -133,6 +133,9 @@ class Profiles:
 
     def read(self, texts: list[str]) -> list[tuple[str, float]]:
         """Language and confidence of each: the share by which the next best is farther, from 0 to 1."""
+        return self.read_words([_WORD.findall(t.lower()) for t in texts])
+
+    def read_words(self, texts: list[list[str]]) -> list[tuple[str, float]]:
         if not texts:
             return []
         d = self.distances(texts)
@@ -191,16 +194,18 @@ def classify(df: DataFrame, key: str, text: str, title: str, lang: str, profiles
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 ids, texts, titles, tags = (col.to_pylist() for col in some.columns)
-                sentences, of = [], []
+                sentences, of, split = [], [], []
                 for i, (t, head) in enumerate(zip(texts, titles)):
                     blank = not (t or "").strip()
                     for s in [head or ""] if blank else parts(t):
-                        if blank and s.strip() or len(_WORD.findall(s)) >= LEAST_WORDS:
+                        own = _WORD.findall(s.lower())
+                        if blank and s.strip() or len(own) >= LEAST_WORDS:
                             sentences.append(s)
                             of.append(i)
+                            split.append(own)
                 joined: list[list[dict]] = [[] for _ in ids]
-                for i, s, (code, sure) in zip(of, sentences, held.read(sentences)):
-                    n, own = len(_WORD.findall(s)), joined[i]
+                for i, s, n, (code, sure) in zip(of, sentences, map(len, split), held.read_words(split)):
+                    own = joined[i]
                     if own and own[-1]["lang"] == code:
                         last = own[-1]
                         last["confidence"] = round((last["confidence"] * last["words"] + sure * n) / (last["words"] + n), 4)
