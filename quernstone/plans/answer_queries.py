@@ -212,7 +212,8 @@ SELECT id, lower(printf('%08x', xor(h, h >> 16))) AS key FROM c ORDER BY key, id
 
     @query()
     def html_to_text(spark: SparkSession, sf: str):
-        rows = table(spark, sf, "criterion_postings").where(F.col("description").contains("<")).select("id", "description").distinct()
+        """The text of every description: null is empty and escaped tags become text once, as in the export."""
+        rows = table(spark, sf, "criterion_postings").select("id", F.coalesce("description", F.lit("")).alias("description")).distinct()
         return rows.select("id", text.html_to_text("description").alias("text"))
 
     @query()

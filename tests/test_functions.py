@@ -5,6 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quernstone import catalog
 from quernstone.functions import ids, numbers, text
 from quernstone.functions.places import Gazetteer, locate
 
@@ -71,6 +72,13 @@ def test_html_to_text(html, expected):
     assert text.text_of_html(html) == expected
 
 
+def test_html_to_text_takes_every_row(spark, tmp_path):
+    rows = [("a", "<p>x</p>"), ("b", "&lt;p&gt;x&lt;/p&gt;"), ("c", "R&amp;D"), ("d", "plain  text"), ("e", " "), ("f", ""), ("g", None), ("d", "plain  text")]
+    spark.createDataFrame(rows, "id string, description string").write.parquet(f"{tmp_path}/criterion_postings.parquet")
+    got = [(r.id, r.text) for r in catalog.QUERIES["html_to_text"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == [("a", "x"), ("b", "<p>x</p>"), ("c", "R&D"), ("d", "plain text"), ("e", ""), ("f", ""), ("g", "")]
+
+
 def test_long_broken_markup_is_linear():
     assert text.text_of_html("<" * 300_000).startswith("<<")
     assert text.text_of_html("<a " * 100_000) == ""
