@@ -58,6 +58,10 @@ _WIKI_HIDDEN = ("category", "file", "image")
 
 _ENVIRONMENT = re.compile(r"\\begin\{([A-Za-z]+\*?)\}(.*?)\\end\{\1\}", re.S)
 _COMMAND = re.compile(r"\\([A-Za-z]+)\*?(?:\[[^\]\n]*\])?\{")
+_NAME_OR_BRACE = re.compile(r"\\([A-Za-z]+)\*?|[{}]")
+_OPTION = re.compile(r"\\([A-Za-z]+)\*?\[")
+_OPTION_END = re.compile(r"[\]\n]")
+_HEADS = frozenset("section subsection subsubsection chapter paragraph title".split())
 _MATH = re.compile(r"\$\$?(?=[^\s$])([^$\n]*?(?:\\[A-Za-z]+|[_^]\{?\w)[^$\n]*?)(?<=[^\s$])\$\$?|\\\((.+?)\\\)|\\\[(.+?)\\\]", re.S)
 _BARE = re.compile(r"\\(?:item|section|subsection|paragraph|maketitle|newline|noindent|par|hline|centering|ldots|LaTeX|TeX)\b")
 _MATH_ENVIRONMENTS = frozenset("equation align gather multline displaymath math eqnarray".split())
@@ -182,14 +186,77 @@ def _write(node: Element, drop: set[int], out: list[str], counter: list[int]) ->
             _write(p, drop, out, counter)
 
 
-def _braces(text: str, at: int) -> int:
-    """The end of the group whose brace opens just before ``at``."""
-    depth = 1
-    for i in range(at, len(text)):
-        depth += (text[i] == "{") - (text[i] == "}")
-        if not depth:
-            return i
-    return len(text)
+def _balanced(text: str) -> bool:
+    depth = 0
+    for c in re.findall("[{}]", text):
+        depth += 1 if c == "{" else -1
+        if depth < 0:
+            return False
+    return not depth
+
+
+def _command_before(out: list[str]) -> tuple[int, str] | None:
+    """Start and name of the command whose brace would open after ``out``."""
+    at = len(out)
+    if at and out[at - 1] == "]":
+        lo = at - 1
+        while lo and out[lo - 1] not in "]\n":
+            lo -= 1
+        m = _OPTION.search("".join(out[lo : at - 1]))
+        return (lo + m.start(), m[1]) if m else None
+    at -= bool(at and out[at - 1] == "*")
+    end = at
+    while at and out[at - 1].isascii() and out[at - 1].isalpha():
+        at -= 1
+    return (at - 1, "".join(out[at:end])) if at < end and at and out[at - 1] == "\\" else None
+
+
+def _unwrapped(text: str) -> str:
+    r"""What all commands hold, as if the first \cmd{...} were unwrapped until none is left, in one pass."""
+    out: list[str] = []  # characters
+    open_: list[list] = []  # groups: where in out they begin, and what their closing brace becomes
+    at, stop, odd = 0, -1, -1
+
+    def enter(name: str) -> None:
+        head = "\n\n" if name in _HEADS else ""
+        out.extend(head)
+        open_.append([len(out), head])
+
+    while m := _NAME_OR_BRACE.search(text, at):
+        out += text[at : m.start()]
+        at = end = m.end()
+        if m[1]:
+            if text.startswith("[", end):
+                if stop <= end:  # the first character that ends an option from here on
+                    stop = s.start() if (s := _OPTION_END.search(text, end + 1)) else len(text)
+                # an option that holds half a group is left to the brace behind it
+                if text.startswith("]{", stop) and stop != odd:
+                    if _balanced(text[end + 1 : stop]):
+                        end = stop + 1
+                    else:
+                        odd = stop
+            if text.startswith("{", end):
+                enter(m[1])
+                at = end + 1
+            else:
+                out += m[0]
+        elif m[0] == "}":
+            out += open_.pop()[1] if open_ else "}"
+        elif before := _command_before(out):  # put together by what was unwrapped
+            start, name = before
+            for group in reversed(open_ if out[-1] == "]" else ()):  # groups begun in its option
+                if group[0] <= start:
+                    break
+                group[:] = start, "}"
+            del out[start:]
+            enter(name)
+        else:
+            open_.append([len(out), "}"])
+            out.append("{")
+    out += text[at:]
+    for _, closing in reversed(open_):
+        out += closing.strip("}")
+    return "".join(out)
 
 
 def _latex(text: str) -> str:
@@ -208,15 +275,7 @@ def _latex(text: str) -> str:
     text = _ENVIRONMENT.sub(environment, text)
     text = _MATH.sub(keep, text)
     text = re.sub(r"~?\\(?:cite|ref|label|eqref|footnotemark)\w*\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", text)
-    for _ in range(1000):
-        m = _COMMAND.search(text)
-        if not m:
-            break
-        end = _braces(text, m.end())
-        inner = text[m.end() : end]
-        if m[1] in ("section", "subsection", "subsubsection", "chapter", "paragraph", "title"):
-            inner = f"\n\n{inner}\n\n"
-        text = text[: m.start()] + inner + text[end + 1 :]
+    text = _unwrapped(text)
     text = _BARE.sub("", text)
     return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], text)
 

@@ -28,6 +28,17 @@ def test_clean_text(text, clean):
     assert markup.render(text, markup.kinds_of(text))[0] == clean
 
 
+@pytest.mark.parametrize("n", [18, 1000, 1001, 30_000])
+def test_every_latex_command_is_unwrapped(n):
+    text = "\\section{A} " + "\\emph{x \\textbf[o]{y}} {z} " * n + "\\a{" * n
+    assert markup.render(text, markup.kinds_of(text))[0] == "A\n\n " + ("x y {z} " * n).strip()
+
+
+@pytest.mark.parametrize("text,clean", [("\\textbf\\emph{{x}} y", "x y"), ("\\a{b \\c[d}]{e} f", "b e f"), ("\\a[\\b{c}]{d}", "d"), ("} \\a{{b} c", "} {b} c"), ("\\a{\\}b{c}", "c")])
+def test_latex_commands_put_together(text, clean):
+    assert markup.render(text, ["latex"])[0] == clean
+
+
 FOOTER = "<div><p>All rights reserved by the host</p></div>"
 
 
