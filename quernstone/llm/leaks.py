@@ -1,9 +1,9 @@
 """Problem 8: passages of evaluation items inside a corpus.
 
-Spaced seeds: fixed masks of twelve word positions of which some are ignored.  The hashes of all
-item windows are joined with the hashes of all corpus windows; since a run of twelve equal words
-is one mask long, no such run is missed, and windows with a few other words still meet.  Around
-each hit the item is laid over the text and overlaps are measured, with and without substitutions.
+Spaced seeds: fixed masks of up to twelve word positions of which some are ignored.  The hashes of all
+item windows are joined with the hashes of all corpus windows; since no mask is longer than twelve
+words, no run of twelve equal ones is missed, and wherever one or two other words stand among twelve
+equal ones, a window of some mask avoids them.  Around each hit the item is laid over the text and overlaps are measured, with and without substitutions.
 
 The item side is broadcast in blocks of a checked size; the corpus is read once a block and is
 never shuffled.
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .codepoints import Block, block_of, blocks, word_slices
 
-#: Masks over consecutive words; "0" marks a position that is ignored.  Each is as long as LEAST.
-MASKS = ("110110110111", "111011011011", "101101101111")
+#: Masks over consecutive words; "0" marks a position that is ignored.  None is longer than LEAST, and for
+#: any SUBSTITUTIONS positions in LEAST + SUBSTITUTIONS words one fits between (tests enumerate them).
+MASKS = ("110110110111", "111011011011", "101101101111", "111010111", "10011001111")
 LEAST = 12
 #: Other words that an overlap with substitutions may hold.
 SUBSTITUTIONS = 2
@@ -95,7 +96,8 @@ def find(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text
     """key, item key, run, overlap: for each text and item that meet, the longest run of equal words
     and the most equal words in a stretch with at most ``substitutions`` other words.
 
-    Rows are those with ``overlap >= least``; ``run >= least`` says that the run is verbatim.  Null
+    Rows are all those with ``overlap >= least``, for MASKS as long as ``substitutions`` is not over
+    SUBSTITUTIONS; ``run >= least`` says that the run is verbatim.  Null
     texts and null keys leak nothing, items under ``least`` words are not searched, repeated rows count once.  The
     items go to the executors in blocks of BLOCK_WORDS words, one pass over the corpus each.
     """

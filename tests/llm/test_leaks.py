@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -62,6 +63,15 @@ def test_substitutions(spark):
     assert got == {(1, 7): (10, 19), (2, 7): (20, 20)}
 
 
+def test_substitutions_anywhere(spark):
+    item = [f"a{i}" for i in range(14)]
+    places = [set(p) for k in (1, 2) for p in itertools.combinations(range(14), k)] + [{i, 13} for i in range(13)]
+    docs = [(d, " ".join("other" if i in p else w for i, w in enumerate(item))) for d, p in enumerate(places)]
+    docs += [(1000 + i, " ".join("other" if k == i else w for k, w in enumerate(item[:13]))) for i in range(13)]
+    got = find(spark, docs, [(7, " ".join(item))])
+    assert {d for d, _ in got} == {d for d, _ in docs} and all(overlap >= 12 for _, overlap in got.values())
+
+
 def test_nothing(spark):
     assert find(spark, [], [(1, "a")]) == {} and find(spark, [(1, "a")], []) == {}
 
