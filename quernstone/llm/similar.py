@@ -81,6 +81,7 @@ class Similar:
 
     def __init__(self, df: DataFrame, key: str, text: str, size: int = SHINGLE, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS):
         self.key, self.size, self.threshold, self.least_words = key, size, threshold, least_words
+        self.keys = df.select(F.col(f"`{key}`").cast("string").alias("k")).where("k IS NOT NULL")
         self.rows = df.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
         self._classes: DataFrame | None = None
 
@@ -232,6 +233,7 @@ class Similar:
     def groups(self) -> DataFrame:
         """<key>, group_id, n_links of each row: connected classes; a group is named by its least class.
 
+        A row that takes no part (too few words, blank or null text) is a class of its own without links.
         Labels spread by hooking each root to the least neighbour's and halving paths, so rounds
         grow with the logarithm of a group's diameter; nothing is collected.
         """
@@ -250,8 +252,9 @@ class Similar:
             if not moved:
                 break
         degree = both.groupBy(F.col("h_a").alias("h")).agg(F.count("*").alias("n"))
-        out = self.classes().select("k", "h").join(label, "h", "left").join(degree, "h", "left")
-        return out.select(F.col("k").alias(self.key), F.coalesce("root", "h").alias("group_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
+        classed = self.classes().select("k", "h").join(label, "h", "left").join(degree, "h", "left")
+        out = self.keys.distinct().join(classed, "k", "left")
+        return out.select(F.col("k").alias(self.key), F.coalesce("root", "h", F.xxhash64("k")).alias("group_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
 
 
 def _inside(a: np.ndarray, b: np.ndarray) -> int:

@@ -62,6 +62,14 @@ def test_groups_are_connected_components(spark, rows):
     assert {(a, b) for a in got for b in got if got[a] == got[b]} == {(a, b) for a in got for b in got if root(a) == root(b)}
 
 
+def test_every_row_has_a_group(spark, rows):
+    got = Similar(spark.createDataFrame(rows, "id string, text string"), "id", "text", 3, 0.6, 50).groups().collect()
+    assert sorted(r.id for r in got) == sorted({k for k, _ in rows if k is not None})
+    alone = {k for k, t in rows if k is not None and len(re.findall(r"[^\W_]+", t or "")) < 50}
+    assert {"n", "e", "t"} <= alone and all(r.n_links == 0 for r in got if r.id in alone)
+    assert not {r.group_id for r in got if r.id in alone} & {r.group_id for r in got if r.id not in alone} and len({r.group_id for r in got if r.id in alone}) == len(alone)
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], "id string, text string")
     assert Similar(df, "id", "text").pairs().collect() == [] and Similar(df, "id", "text").groups().collect() == []
