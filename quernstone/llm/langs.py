@@ -67,19 +67,27 @@ def named(tag: str | None) -> str | None:
     return _BY_NAME.get(re.split(r"[-_\s]", tag, maxsplit=1)[0], _BY_NAME.get(tag, "?"))
 
 
-def parts(text: str | None) -> list[str]:
-    """The sentences of a text, without markup, list entries and headings of fewer words."""
+def pieces(text: str | None) -> list[tuple[str, bool]]:
+    """The sentences of a text without markup, and whether each stands in a list entry."""
     if not text:
         return []
     text = unicodedata.normalize("NFC", render(text, kinds_of(text))[0])
     out = []
     for line in text.split("\n"):
         line = line.strip()
-        if line and not _ENTRY.match(line):
-            out += [s for s in _END.split(line) if s.strip()]
+        if line:
+            entry = _ENTRY.match(line)
+            at = entry.end() if entry else 0
+            first, *rest = _END.split(line[at:])
+            out += [(s, bool(entry)) for s in (line[:at] + first, *rest) if s.strip()]
     return out
 
 
+def parts(text: str | None) -> list[str]:
+    """The sentences of a text, without markup and list entries."""
+    return [s for s, entry in pieces(text) if not entry]
+
+
 def grams(word: str) -> list[str]:
     padded = f" {word} "
     return [padded[i : i + n] for n in SIZES for i in range(len(padded) - n + 1) if n > 1 or padded[i] != " "]
@@ -174,19 +182,20 @@ def fit_on(df: DataFrame, key: str, text: str, lang: str, sample: int = SAMPLE)
     return fit([(_BY_NAME[r.tag], r.text) for r in rows.orderBy("h", "text").limit(sample).collect()])
 
 
-def classify(df: DataFrame, key: str, text: str, title: str, lang: str, profiles: Profiles | None = None, repeats: bool = False) -> DataFrame:
-    """key, stated, main, confidence, parts (array of lang, confidence, words, text) of each row.
+def classify(df: DataFrame, key: str, text: str, title: str, lang: str, profiles: Profiles | None = None, repeats: bool = False, counted_only: bool = False) -> DataFrame:
+    """key, stated, main, confidence, parts (array of lang, confidence, words, text, counted) of each row.
 
-    ``parts`` are the sentences of LEAST_WORDS or more words of the text, or the title where the
-    text is blank; neighbours of one language are joined.  ``main`` has the most words, ties go to the language
-    met first; null if there is no part.  Null keys are left out, nulls elsewhere count as blank,
+    ``parts`` are the sentences of the text with a word, or the title where the text is blank; sentences of
+    under LEAST_WORDS words and list entries are not ``counted`` (with ``counted_only`` they are left out).
+    Neighbours of one language, both counted or both not, are joined.  ``main`` has the most words of the
+    counted parts, or of all where none counts, ties go to the language met first; null if there is no part.  Null keys are left out, nulls elsewhere count as blank,
     rows delivered twice count once (with ``repeats`` they stay, for callers that take distinct results).
     """
     c = lambda name: F.col(f"`{name}`").cast("string")
     shared = df.sparkSession.sparkContext.broadcast(profiles or fit_on(df, key, text, lang))
     rows = df.select(c(key).alias("id"), c(text).alias("text"), c(title).alias("title"), c(lang).alias("tag")).where("id IS NOT NULL")
     rows = rows if repeats else once(rows)
-    part = pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int32()), ("text", pa.string())])
+    part = pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int32()), ("text", pa.string()), ("counted", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
@@ -194,27 +203,32 @@ def classify(df: DataFrame, key: str, text: str, title: str, lang: str, profiles
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 ids, texts, titles, tags = (col.to_pylist() for col in some.columns)
-                sentences, of, split = [], [], []
+                sentences, of, split, counts = [], [], [], []
                 for i, (t, head) in enumerate(zip(texts, titles)):
                     blank = not (t or "").strip()
-                    for s in [head or ""] if blank else parts(t):
+                    for s, entry in [(head or "", False)] if blank else pieces(t):
+                        if entry and counted_only:
+                            continue
                         own = _WORD.findall(s.lower())
-                        if blank and s.strip() or len(own) >= LEAST_WORDS:
+                        counted = blank and bool(s.strip()) or len(own) >= LEAST_WORDS and not entry
+                        if counted or own and not counted_only:
                             sentences.append(s)
                             of.append(i)
                             split.append(own)
+                            counts.append(counted)
                 joined: list[list[dict]] = [[] for _ in ids]
-                for i, s, n, (code, sure) in zip(of, sentences, map(len, split), held.read_words(split)):
+                for i, s, n, counted, (code, sure) in zip(of, sentences, map(len, split), counts, held.read_words(split)):
                     own = joined[i]
-                    if own and own[-1]["lang"] == code:
+                    if own and (own[-1]["lang"], own[-1]["counted"]) == (code, counted):
                         last = own[-1]
                         last["confidence"] = round((last["confidence"] * last["words"] + sure * n) / (last["words"] + n), 4)
                         last["words"] += n
                         last["text"] += " " + s
                     else:
-                        own.append({"lang": code, "confidence": sure, "words": n, "text": s})
+                        own.append({"lang": code, "confidence": sure, "words": n, "text": s, "counted": counted})
                 main, sure = [], []
                 for own in joined:
+                    own = [p for p in own if p["counted"]] or own
                     total: Counter = Counter()
                     for p in own:
                         total[p["lang"]] += p["words"]
@@ -226,11 +240,11 @@ def classify(df: DataFrame, key: str, text: str, title: str, lang: str, profiles
                     names=["id", "stated", "main", "confidence", "parts"],
                 )
 
-    return rows.mapInArrow(run, "id string, stated string, main string, confidence double, parts array<struct<lang: string, confidence: double, words: int, text: string>>")
+    return rows.mapInArrow(run, "id string, stated string, main string, confidence double, parts array<struct<lang: string, confidence: double, words: int, text: string, counted: boolean>>")
 
 
 def mislabelled(classified: DataFrame) -> DataFrame:
     """id, found_lang: each language of rows whose tag is missing or names another than the main one, or that mix languages."""
-    langs = F.array_distinct(F.transform("parts", lambda p: p["lang"]))
+    langs = F.array_distinct(F.transform(F.filter("parts", lambda p: p["counted"]), lambda p: p["lang"]))
     wrong = F.col("stated").isNull() | (F.col("stated") != F.col("main")) | (F.size(langs) > 1)
     return classified.where(wrong).select("id", F.explode(langs).alias("found_lang")).distinct()

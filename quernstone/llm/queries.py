@@ -11,16 +11,16 @@ from ..tables import table
 from . import langs, leaks, markup, percentiles, places, similar, spans, tokens
 
 
-def _languages(spark: SparkSession, sf: str) -> DataFrame:
-    return langs.classify(table(spark, sf, "criterion_postings"), "id", "description", "title", "lang")
+def _languages(spark: SparkSession, sf: str, counted_only: bool = False) -> DataFrame:
+    return langs.classify(table(spark, sf, "criterion_postings"), "id", "description", "title", "lang", counted_only=counted_only)
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return langs.mislabelled(_languages(spark, sf))
+    return langs.mislabelled(_languages(spark, sf, counted_only=True))
 
 
 def p1_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return _languages(spark, sf).select("id", "main", F.posexplode("parts").alias("part", "p")).select("id", "main", "part", "p.*")
+    return _languages(spark, sf).select("id", "main", F.posexplode_outer("parts").alias("part", "p")).select("id", "main", "part", "p.*")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

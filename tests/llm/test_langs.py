@@ -1,6 +1,6 @@
 import pytest
 
-from quernstone.llm import langs
+from quernstone.llm import langs, queries
 
 
 @pytest.mark.parametrize("tag,code", [("en-GB", "en"), (" DE_at ", "de"), ("Deutsch", "de"), ("français", "fr"), ("English", "en"), ("por", "pt"), ("und", None), ("Unknown", None), ("", None), (None, None), ("sv", "?"), ("nl-BE", "nl")])
@@ -45,6 +45,20 @@ def test_parts(spark, profiles):
     assert (r.main, [p.lang for p in r.parts]) == ("en", ["en", "fr"]) and 0 < r.confidence <= 1 and r.parts[0].words == 2 * r.parts[1].words - 6 or r.parts[0].words == 32
 
 
+def test_short_sentences_and_entries_are_classified(spark, profiles):
+    rows = [("mixed", f"{EN} Und das ist nicht einfach.\n- {FR}\n1. {DE}\n***", "t", "en"), ("list", f"- {DE}\n- {DE}", "t", "de"), ("short", "Das ist nicht einfach.", "t", "en")]
+    got = {r.id: r for r in run(spark, rows, profiles).collect()}
+    assert [(p.lang, p.counted) for p in got["mixed"].parts] == [("en", True), ("de", False), ("fr", False), ("de", False)] and got["mixed"].main == "en"
+    assert [(got[i].main, len(got[i].parts), got[i].confidence > 0) for i in ("list", "short")] == [("de", 1, True)] * 2
+    assert langs.mislabelled(run(spark, rows, profiles)).collect() == []
+
+
+def test_parts_have_every_posting(spark, tmp_path):
+    spark.createDataFrame([("a", f"- {DE}", "t", "de"), ("b", None, None, None), ("c", EN, "t", "en")], "id string, description string, title string, lang string").write.parquet(f"{tmp_path}/criterion_postings.parquet")
+    got = {(r.id, r.main, r.part, r.lang, r.counted) for r in queries.p1_parts(spark, str(tmp_path)).collect()}
+    assert got == {("a", "de", 0, "de", False), ("b", None, None, None, None), ("c", "en", 0, "en", True)}
+
+
 def test_wrong_labels_do_not_spoil_profiles():
     rows = [("en", EN)] * 6 + [("de", DE)] * 6 + [("en", DE)] * 2
     assert [c for c, _ in langs.fit(rows).read([EN, DE])] == ["en", "de"]
