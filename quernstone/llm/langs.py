@@ -24,7 +24,7 @@ from .repeats import once
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "nl", "pt")
 #: Labelled rows the profiles are fitted on: those with the least hash of their id.
-SAMPLE = 1200
+SAMPLE = 2000
 #: N-grams of a profile, and the sizes of an n-gram (a word has a blank before and after it).
 PROFILE, SIZES = 2500, (1, 2, 3, 4)
 #: Words a part must have to say that a text holds its language.

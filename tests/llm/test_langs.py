@@ -64,6 +64,12 @@ def test_wrong_labels_do_not_spoil_profiles():
     assert [c for c, _ in langs.fit(rows).read([EN, DE])] == ["en", "de"]
 
 
+def test_the_sample_is_not_cut(spark, monkeypatch):
+    monkeypatch.setattr(langs, "fit", lambda labelled: labelled)
+    df = spark.range(2100).selectExpr("cast(id as string) AS id", "'text' AS text", "'en' AS lang")
+    assert len(langs.fit_on(df, "id", "text", "lang")) == 2000
+
+
 def test_fitted_on_the_table(spark):
     got = run(spark, [(str(i), t, "t", l) for i, (t, l) in enumerate([(EN, "en"), (DE, "de"), (DE, "en")] * 3)])
     assert {(r.stated, r.main) for r in got.collect()} == {("en", "en"), ("de", "de"), ("en", "de")}
