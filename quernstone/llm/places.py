@@ -36,7 +36,7 @@ def fold(text: str) -> str:
 
 def allowed(length: int) -> int:
     """Errors a reference name of so many letters may have."""
-    return 0 if length < 5 else 1 if length < 6 else ERRORS
+    return 0 if length < 5 else ERRORS
 
 
 class Automaton:
@@ -189,7 +189,7 @@ class Reader:
     def _closest(self, typed: str) -> list[int]:
         if typed in self.trie.exact:
             return self.trie.exact[typed]
-        if len(typed) < 4:
+        if len(typed) < 5 - ERRORS:
             return []
         near = self.trie.within(typed)
         if not near:

@@ -54,3 +54,8 @@ def test_known_places_decide_what_the_label_does_not(spark):
 
 def test_nothing(spark):
     assert read(spark, []) == set()
+
+
+def test_five_letter_names_may_have_two_errors():
+    reader = places.Reader([(1, "Kanel", "AA", "Aland", "d", "Division", 5, []), (2, "Toronta", "AA", "Aland", "d", "Division", 9, ["KGX"])])
+    assert [reader.read(t) for t in ("Kxnxl", "Knale", "Kaneles", "Kan", "Kxxxl", "KGY")] == [[[0]]] * 4 + [[]] * 2
