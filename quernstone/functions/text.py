@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 import unicodedata
 
@@ -11,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .html_blocks import text_of_html
+
 #: White space as the stored texts mean it: Java's \s has no no-break space (fixed value).
 SPACE = r"[\s\p{Z}\x{FEFF}]"
 
@@ -25,14 +26,14 @@ def fold(text: pd.Series) -> pd.Series:
     return text.map(fold_text, na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def fold_name(text: pd.Series) -> pd.Series:
-    """Folded, without periods and quotes, dashes as single spaces."""
+def name_folded(text: str) -> str:
+    """Folded, without periods, apostrophes and backticks, dashes and blanks as one blank."""
+    return " ".join("".join(" " if unicodedata.category(c) == "Pd" else c for c in fold_text(text) if c not in ".'`\u2018\u2019").split())
 
-    def one(t: str) -> str:
-        return " ".join(re.sub(r"[-‐-―_]", " ", re.sub(r"[.'’‘`´\"“”]", "", fold_text(t))).split())
 
-    return text.map(one, na_action="ignore")
+@F.pandas_udf(StringType())
+def fold_name(text: pd.Series) -> pd.Series:
+    return text.map(name_folded, na_action="ignore")
 
 
 def clean_text(c: Column) -> Column:
@@ -56,80 +57,6 @@ def escape_html(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-_SKIPPED = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in ("script", "style", "title", "svg", "noscript", "template", "textarea", "iframe")}
-_LISTS = frozenset(("ul", "ol", "menu", "dir"))
-_CELLS = frozenset(("td", "th"))
-_BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend main nav p pre section summary table tbody tfoot thead tr".split())
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</(?![A-Za-z])[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)", re.S)
-_ATTRIBUTE = re.compile(r"[^>=]*(?:=[\t\n\f\r ]*(?:\"[^\"]*\"|'[^']*'|(?![\"']))[^>=]*)*>")
-
-
-class _TextOf:
-    """Collects text; asked-for breaks are written only once text follows."""
-
-    def __init__(self) -> None:
-        self.out: list[str] = []
-        self.wanted, self.started, self.bullet = 0, False, False
-        self.lists: list[bool] = []
-
-    def text(self, raw: str) -> None:
-        text = re.sub(r"\s+", " ", html.unescape(raw))
-        if text.strip():
-            self.out += ["\n" * (self.wanted if self.started else 0), "- " * self.bullet, text]
-            self.wanted, self.started, self.bullet = 0, True, False
-        else:
-            self.out.append(text)
-
-    def tag(self, name: str, closing: bool) -> None:
-        if name == "li":
-            if not self.lists:
-                self.lists.append(False)
-            self.lists[-1] = self.bullet = not closing
-            self.wanted = max(self.wanted, 0 if closing else 1)
-        elif name == "br":
-            self.wanted = min(self.wanted + 1, 2) or 1
-        elif name in _CELLS:
-            if not closing:
-                self.out.append(" ")
-        elif name in _LISTS or name in _BLOCKS:
-            if name in _LISTS and not closing:
-                self.lists.append(False)
-            elif name in _LISTS and self.lists:
-                self.lists.pop()
-            self.wanted = max(self.wanted, 1 if any(self.lists) else 2)
-
-    def done(self) -> str:
-        text = re.sub(r" *\n *", "\n", re.sub(r"[^\S\n]+", " ", "".join(self.out)))
-        return unicodedata.normalize("NFC", re.sub(r"\n{3,}", "\n\n", text).strip())
-
-
-def text_of_html(source: str) -> str:
-    """Plain text of HTML: blocks apart by a blank line, list items behind dashes, entities decoded in text only.
-
-    One pass; comments, doctypes and elements without text are left out, an unfinished tag ends the text.
-    """
-    to, at = _TextOf(), 0
-    while at < len(source):
-        m = _PIECE.search(source, at)
-        if not m:
-            to.text(source[at:])
-            break
-        if m.start() > at:
-            to.text(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        end = _ATTRIBUTE.match(source, at)
-        if not end:
-            break
-        at, name = end.end(), m[2].lower()
-        to.tag(name, bool(m[1]))
-        if not m[1] and name in _SKIPPED and source[at - 2] != "/":
-            close = _SKIPPED[name].search(source, at)
-            at = close.start() if close else len(source)
-    return to.done()
-
-
 @F.pandas_udf(StringType())
 def html_to_text(source: pd.Series) -> pd.Series:
     return source.map(text_of_html, na_action="ignore")

@@ -91,6 +91,19 @@ def register(query) -> None:
         own = table(spark, sf, "index_rows").select(F.explode("locations").alias("label"))
         return places.read_labels(own, "label", table(spark, sf, "gazetteer_cities")).agg(F.count("*").alias("labels"))
 
+    @query("""WITH c AS (SELECT DISTINCT country, country_name FROM gazetteer_cities), d AS (SELECT DISTINCT country, country_name, division, division_name FROM gazetteer_cities WHERE division IS NOT NULL)
+SELECT canonical_label AS label, country, division, city_id AS city, NULL AS workplace FROM gazetteer_cities
+UNION ALL SELECT canonical_label || ' (Hybrid)', country, division, city_id, 'hybrid' FROM gazetteer_cities
+UNION ALL SELECT 'Remote - ' || country_name, country, NULL, NULL, 'remote' FROM c
+UNION ALL SELECT division_name || ', ' || country_name, country, division, NULL, NULL FROM d WHERE division_name NOT IN (SELECT city_name FROM gazetteer_cities)""")
+    def location_golden(spark: SparkSession, sf: str):
+        """Labels whose reading is known, because they are made of the gazetteer's own names."""
+        cities = table(spark, sf, "gazetteer_cities")
+        towns = cities.select("city_name").distinct()
+        made = cities.select(F.explode(F.array("canonical_label", F.concat("canonical_label", F.lit(" (Hybrid)")), F.concat(F.lit("Remote - "), "country_name"))).alias("label"))
+        made = made.unionAll(cities.where("division IS NOT NULL").join(towns.withColumnRenamed("city_name", "division_name"), "division_name", "left_anti").select(F.concat_ws(", ", "division_name", "country_name").alias("label")))
+        return places.read_labels(made, "label", cities).select("label", F.inline_outer("places"), "workplace")
+
     @query()
     def location_readings(spark: SparkSession, sf: str):
         own = table(spark, sf, "index_rows").select(F.explode("locations").alias("label"))

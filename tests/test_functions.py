@@ -6,8 +6,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quernstone import catalog
-from quernstone.functions import ids, numbers, text
-from quernstone.functions.places import Gazetteer, locate
+from quernstone.functions import ids, numbers, places, text
+from quernstone.functions.html_blocks import text_of_html
+from quernstone.functions.places import Lexicon, LabelReader
+from quernstone.functions.regions import regions
 
 
 def one(spark, column, **values):
@@ -69,7 +71,7 @@ def test_employment(spark, label, expected):
     ("a<script>1<2</script>b<!-- c -->d", "abd"), ("1 < 2 and <b>b</b>", "1 < 2 and b"), ('<a title="x>y">z</a>', "z"), ("cut <a href", "cut"), ("<td>a</td><td>b</td>", "a b"), ("é", "é"), ("", ""),
 ])
 def test_html_to_text(html, expected):
-    assert text.text_of_html(html) == expected
+    assert text_of_html(html) == expected
 
 
 def test_html_to_text_takes_every_row(spark, tmp_path):
@@ -80,8 +82,8 @@ def test_html_to_text_takes_every_row(spark, tmp_path):
 
 
 def test_long_broken_markup_is_linear():
-    assert text.text_of_html("<" * 300_000).startswith("<<")
-    assert text.text_of_html("<a " * 100_000) == ""
+    assert text_of_html("<" * 300_000).startswith("<<")
+    assert text_of_html("<a " * 100_000) == ""
 
 
 def test_cleaning(spark):
@@ -98,22 +100,70 @@ CITIES = [
     (4, "Coast", "BB", "Borland", "CA", "Coast", 500_000, []), (5, "Dorn", "CA", "Cadia", "7", "Midland", 20_000, []),
 ]
 REGIONS = {"nordland": ("AA", "BB")}
+GAZETTEER = "city_id bigint, city_name string, country string, country_name string, division string, division_name string, population bigint, alternates array<string>"
 
 
-@pytest.mark.parametrize("label,places,workplace,anywhere", [
+@pytest.fixture(scope="module")
+def gazetteer(spark):
+    return spark.createDataFrame(CITIES, GAZETTEER)
+
+
+@pytest.fixture(scope="module")
+def reader(gazetteer):
+    return LabelReader(Lexicon([tuple(r) for r in places.names_of(gazetteer).collect()], REGIONS))
+
+
+@pytest.mark.parametrize("label,expected,workplace,anywhere", [
     ("Arlo", [("AA", "10", 1)], None, False), ("Bexley, Aland", [("AA", "11", 2)], None, False), ("Bexley", [("BB", "CA", 3)], None, False), ("Bexley, CA", [("BB", "CA", 3)], None, False), ("Dorn, CA", [("CA", "7", 5)], None, False),
     ("Remote - AA", [("AA", None, None)], "remote", False), ("Borland (Hybrid)", [("BB", None, None)], "hybrid", False), ("Coast", [("BB", "CA", 4)], None, False), ("ARL; Dorn", [("AA", "10", 1), ("CA", "7", 5)], None, False),
     ("Nordland", [("AA", None, None), ("BB", None, None)], None, False), ("Anywhere", [], None, True), ("Arlo or Dorn", [("AA", "10", 1), ("CA", "7", 5)], None, False), ("Northshire", [("AA", "10", None)], None, False), ("", [], None, False),
-    ("Arlo AA", [("AA", "10", 1)], None, False), ("Remote (PST timezone)", [], "remote", False), ("N/A", [], None, False),
+    ("Arlo AA", [("AA", "10", 1)], None, False), ("Remote (PST timezone)", [], "remote", False), ("N/A", [], None, False), ("Office Based - Arlo, Aland", [("AA", "10", 1)], "onsite", False), ("Home based - Worldwide", [], "remote", True),
+    ("Remote-Dorn", [("CA", "7", 5)], "remote", False), ("Arlo City", [("AA", "10", 1)], None, False), ("Acme Arlo", [("AA", "10", 1)], None, False), ("Arlo-Dorn, CA", [("AA", "10", 1), ("CA", "7", 5)], None, False), ("Province of Northshire", [("AA", "10", None)], None, False),
+    ("Arlo: (260 Burwood Rd)", [("AA", "10", 1)], None, False), ("Remote in the AA or BB", [("AA", None, None), ("BB", None, None)], "remote", False), ("Arlo \U0001f1e6\U0001f1e6", [("AA", "10", 1)], None, False),
 ])
-def test_location_labels(label, places, workplace, anywhere):
-    read = Gazetteer(CITIES, REGIONS).read(label)
-    assert (read.places, read.workplace, read.anywhere) == (places, workplace, anywhere)
+def test_location_labels(reader, label, expected, workplace, anywhere):
+    read = reader.read(label)
+    assert (read.places, read.workplace, read.anywhere) == (expected, workplace, anywhere)
+
+
+def test_what_is_no_place(reader):
+    assert reader.read("Jobs.cz").unmatched == ["Jobs.cz"]
+    assert reader.read("Bexley", ["AA"]).places == [("AA", "11", 2)] or reader.read("Bexley", ["AA"], "AA").places
+
+
+@given(st.text(max_size=60))
+def test_any_label_is_read(reader, label):
+    assert set(reader.read(label).places) <= {("AA", "10", 1), ("AA", "11", 2), ("BB", "CA", 3), ("BB", "CA", 4), ("CA", "7", 5), *((c, d, None) for c in ("AA", "BB", "CA") for d in (None, "10", "11", "CA", "7"))}
+
+
+def test_named_regions():
+    found = regions({"AT": "EU", "DE": "EU", "EG": "AF", "AE": "AS", "JP": "AS", "AU": "OC", "US": "NA"})
+    assert found["dach"] == ("AT", "DE") and found["emea"] == ("AT", "DE", "EG", "AE") and found["apac"] == ("JP", "AU") and found["mena"] == ("AE", "EG") and found["namer"] == ("US",)
+
+
+def test_names_of_countries_in_other_languages(spark, gazetteer):
+    more = places.country_names(spark, ["DE", "MM"], ["en", "fr"])
+    named = {(r.name, r.country) for r in more.collect()}
+    assert {("Germany", "DE"), ("Allemagne", "DE")} <= named
+    label = spark.createDataFrame([("Allemagne",)], "label string")
+    assert places.read_labels(label, "label", gazetteer, more=more).first().places[0].country == "DE"
+
+
+def test_a_longer_list_is_read_in_blocks(spark, gazetteer):
+    labels = spark.createDataFrame([(x,) for x in ("Arlo", "Bexley, CA", "ARL; Dorn", "Remote - AA", "Province of Northshire", "Nowhere", "Arlo-Dorn, CA", "", None, "Arlo")], "label string")
+    whole, blocks = (sorted(map(str, places.read_labels(labels, "label", gazetteer, REGIONS, most=n).collect())) for n in (1000, 6))
+    assert whole == blocks and len(whole) == 8
 
 
-def test_locating_a_posting():
-    g = Gazetteer(CITIES, REGIONS)
-    assert g.read("Bexley", ["AA"]).places == [("AA", "11", 2)] or g.read("Bexley", ["AA"], "AA").places
-    assert locate(g, ["Nowhere"], [("Nowhere", "Arlo, Aland")], None, None)[0].places == [("AA", "10", 1)]
-    assert locate(g, ["Nowhere"], [], None, "BB") == (g.read("Nowhere")._replace(places=[("BB", None, None)]), "home")
-    assert locate(g, [], [(None, "Dorn")], None, None)[1] == "stated"
+def test_locating_postings(spark, gazetteer):
+    rows = [
+        ("a", ["Nowhere"], [("Nowhere", "Arlo, Aland")], None, None), ("b", ["Nowhere"], [], None, "BB"), ("c", [], [(None, "Dorn")], None, None), ("d", ["Remote"], [], "CA", "BB"), ("e", ["Dornhub Works"], [(None, "Dornhub, Arlo"), (None, "Bexley")], None, None),
+        ("f", ["Anywhere", "Remote"], [], None, "AA"), ("g", ["x"], [], None, None), ("h", ["Arlo", "Arlo", "Dorn (Hybrid)"], [], None, None), (None, ["Arlo"], [], None, None), ("i", None, None, None, "AA"), ("a", ["Nowhere"], [("Nowhere", "Arlo, Aland")], None, None),
+    ]
+    found = places.locate(spark.createDataFrame(rows, "id string, labels array<string>, stated array<struct<label: string, text: string>>, country string, home string"), gazetteer)
+    got = {r.id: ([tuple(p) for p in r.places], r.workplace, r.anywhere, r.basis, r.unmatched) for r in found.collect()}
+    assert found.count() == len(got) == 9
+    arlo, dorn = ("AA", "10", 1), ("CA", "7", 5)
+    assert got["a"] == ([arlo], None, False, "label", []) and got["b"] == ([("BB", None, None)], None, False, "home", ["Nowhere"]) and got["c"] == ([dorn], None, False, "stated", [])
+    assert got["d"] == ([("CA", None, None)], "remote", False, "stated", []) and got["e"][0] == [arlo] and got["e"][3] == "label" and got["f"] == ([], "remote", True, "label", [])
+    assert got["g"] == ([], None, False, "none", ["x"]) and got["h"] == ([arlo, dorn], "hybrid", False, "label", []) and got["i"][3] == "home"
