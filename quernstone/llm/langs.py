@@ -57,6 +57,7 @@ SEEDS = {
 _WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+(?=\S)")
 _ENTRY = re.compile(r"^\s*(?:[-–—•*+·▪◦‣]|\(?\d{1,3}[.)])\s*")
+_HEADING = re.compile(r"#{1,6} ")
 
 
 def named(tag: str | None) -> str | None:
@@ -68,14 +69,22 @@ def named(tag: str | None) -> str | None:
 
 
 def pieces(text: str | None) -> list[tuple[str, bool]]:
-    """The sentences of a text without markup, and whether each stands in a list entry."""
+    """The sentences of a text without markup, and whether each stands in a list entry, a heading or code."""
     if not text:
         return []
-    text = unicodedata.normalize("NFC", render(text, kinds_of(text))[0])
+    kinds = kinds_of(text)
+    text = unicodedata.normalize("NFC", render(text, kinds)[0])
     out = []
+    code = False
     for line in text.split("\n"):
         line = line.strip()
-        if line:
+        if kinds and line == "```":
+            code = not code
+        elif line:
+            head = _HEADING.match(line) if kinds else None
+            if code or head:
+                out.append((line[head.end() :] if head else line, True))
+                continue
             entry = _ENTRY.match(line)
             at = entry.end() if entry else 0
             first, *rest = _END.split(line[at:])
