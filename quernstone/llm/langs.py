@@ -27,6 +27,8 @@ LANGUAGES = ("en", "de", "fr", "es", "it", "nl", "pt")
 SAMPLE = 2000
 #: N-grams of a profile, and the sizes of an n-gram (a word has a blank before and after it).
 PROFILE, SIZES = 2500, (1, 2, 3, 4)
+#: The rank of an n-gram that a profile lacks, and the words whose n-grams a worker remembers.
+_NOWHERE, MOST_WORDS = 30_000, 500_000
 #: Words a part must have to say that a text holds its language.
 LEAST_WORDS = 8
 
@@ -103,7 +105,7 @@ def grams(word: str) -> list[str]:
 
 
 class Profiles:
-    """Rank of each known n-gram in each language; PROFILE for one that is not in the profile."""
+    """Rank of each known n-gram in each language; no distance is over PROFILE."""
 
     def __init__(self, counts: dict[str, Counter]):
         tops = {code: [g for g, _ in sorted(counts[code].items(), key=lambda x: (-x[1], x[0]))[:PROFILE]] for code in LANGUAGES}
@@ -114,38 +116,59 @@ class Profiles:
                 overall[g] += counts[code][g] / total
         known = sorted(overall, key=lambda g: (-overall[g], g))
         self.ids = {g: i for i, g in enumerate(known)}  # ties of a part's ranking go by this order
-        self.ranks = np.full((len(known), len(LANGUAGES)), PROFILE, np.int32)
+        self.ranks = np.full((len(LANGUAGES), len(known)), _NOWHERE, np.int16)
         for j, code in enumerate(LANGUAGES):
             for rank, g in enumerate(tops[code]):
-                self.ranks[self.ids[g], j] = rank
-        self.cache: dict[str, np.ndarray] = {}
-
-    def of(self, word: str) -> np.ndarray:
-        if (found := self.cache.get(word)) is None:
-            if len(self.cache) > 500_000:
-                self.cache.clear()
-            found = self.cache[word] = np.array([i for g in grams(word) if (i := self.ids.get(g)) is not None], np.int64)
-        return found
+                self.ranks[j, self.ids[g]] = rank
+        self._forget()
+
+    def _forget(self) -> None:
+        """The words met so far, numbered, with the n-grams of word i at begin[i] to begin[i + 1] of ``flat``."""
+        self.words: dict[str, int] = {}
+        self.begin, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 16, np.int32)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.words) > MOST_WORDS:
+            self._forget()
+        for w in {w for w in words if w not in self.words}:
+            own = [i for g in grams(w) if (i := self.ids.get(g)) is not None]
+            at = len(self.words)
+            self.words[w] = at
+            begin = self.begin[at]
+            if at + 2 > len(self.begin):
+                self.begin = np.append(self.begin, np.zeros_like(self.begin))
+            while begin + len(own) > len(self.flat):
+                self.flat = np.append(self.flat, np.zeros_like(self.flat))
+            self.flat[begin : begin + len(own)] = own
+            self.begin[at + 1] = begin + len(own)
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
 
     def distances(self, texts: list[list[str]]) -> np.ndarray:
         """texts (as lower-case words) x languages: the mean out-of-place distance of the known n-grams of each text."""
         out = np.full((len(texts), len(LANGUAGES)), float(PROFILE))
-        for at in range(0, len(texts), 4000):
-            own = [[self.of(w) for w in t] for t in texts[at : at + 4000]]
-            sizes = [sum(map(len, ws)) for ws in own]
-            flat = [g for ws in own for g in ws]
-            if not sum(sizes):
+        for at in range(0, len(texts), 1000):
+            own = texts[at : at + 1000]
+            word = self._numbers([w for t in own for w in t])
+            of = np.repeat(np.arange(len(own)), [len(t) for t in own])
+            many = self.begin[word + 1] - self.begin[word]
+            if not many.sum():
                 continue
-            key, n = np.unique(np.repeat(np.arange(len(own)), sizes) * len(self.ranks) + np.concatenate(flat), return_counts=True)
+            of = np.repeat(of, many)
+            gram = self.flat[np.repeat(self.begin[word] - (np.cumsum(many) - many), many) + np.arange(len(of))]
+            key = np.sort((of << 20) | gram)
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            n = np.diff(np.append(new, len(key)))
+            key = key[new]
             # one sort of packed keys: text, then most frequent first, ties by the overall order
-            packed = np.sort((key // len(self.ranks) << 40) | (np.int64((1 << 20) - 1) - np.minimum(n, (1 << 20) - 1) << 20) | key % len(self.ranks))
-            text, gram = packed >> 40, packed & ((1 << 20) - 1)
+            low = (1 << 20) - 1
+            packed = np.sort((key >> 20 << 40) | (low - np.minimum(n, low) << 20) | (key & low))
+            text, gram = packed >> 40, packed & low
             first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
             many = np.diff(np.append(first, len(text)))
-            rank = (np.arange(len(text)) - np.repeat(first, many)).astype(np.int32)
-            known = self.ranks[gram]
-            apart = np.where(known == PROFILE, np.int32(PROFILE), np.abs(known - rank[:, None]))
-            out[at + text[first]] = np.add.reduceat(apart, first, axis=0, dtype=np.int64) / many[:, None]
+            rank = np.minimum(np.arange(len(text)) - np.repeat(first, many), _NOWHERE - 2 * PROFILE).astype(np.int16)
+            for j, known in enumerate(self.ranks):  # an n-gram that is in no profile is farther than PROFILE
+                apart = np.minimum(np.abs(known[gram] - rank), PROFILE)
+                out[at + text[first], j] = np.add.reduceat(apart, first, dtype=np.int64) / many
         return out
 
     def read(self, texts: list[str]) -> list[tuple[str, float]]:
