@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import likeliest, pay_reach, probability_of
 from ..functions.text import fold, fold_text
+from ..tables import cut, exists, latest
 
 WORKPLACES = ("onsite", "hybrid", "remote")
 EMPLOYMENT = ("full-time", "part-time", "contract", "internship", "temporary")
@@ -125,8 +126,11 @@ def _criteria(text: str) -> tuple[Criterion, ...]:
 
 
 def index_table(rows: DataFrame) -> DataFrame:
-    """Each posting once, with the columns filters work on; answers of a wrong width are no answers."""
-    one = rows.dropDuplicates(["id"])
+    """Each posting once, with the columns filters work on; answers of a wrong width are no answers.
+
+    Of several rows of a posting the one posted last counts, of equally late ones that of the greatest hash.
+    """
+    one = latest(rows, ["id"], ["posted_at"])
     cols = {
         "countries": F.array_distinct(F.transform("places", lambda p: p["country"])),
         "divisions": F.array_distinct(F.array_compact(F.transform("places", lambda p: F.when(p["division"].isNotNull(), F.concat_ws(".", p["country"], p["division"]))))),
@@ -134,6 +138,7 @@ def index_table(rows: DataFrame) -> DataFrame:
         "posted_day": F.floor(F.col("posted_at") / DAY_MS).cast("int"),
         "currency": F.col("pay.currency"),
         "reach": pay_reach(F.col("pay.pay_min"), F.col("pay.pay_max")),
+        "search_text": fold(F.concat_ws(" ", "title", "company")),
     }
     for question, options in QUESTIONS.items():
         given = F.try_element_at("answers", F.lit(question))
@@ -141,6 +146,29 @@ def index_table(rows: DataFrame) -> DataFrame:
     return one.withColumns(cols)
 
 
+#: Rows of a file of the served index; small indexes are split further, so that all cores read.
+FILE_ROWS, LEAST_FILE_ROWS = 250_000, 5_000
+_served: dict[tuple[str, str], DataFrame] = {}
+
+
+def serve(rows: DataFrame, path: str) -> DataFrame:
+    """The index as files at ``path``, newest day first, written once: queries on it shuffle and fold nothing.
+
+    A folder without its success mark is written anew; the name has to change with the rows (see ``tables.stamp``).
+    """
+    spark = rows.sparkSession
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _served or not exists(spark, f"{path}/_SUCCESS"):
+        if not exists(spark, f"{path}/_SUCCESS"):
+            table = cut(index_table(rows))
+            n = table.count()
+            files = max(-(-n // FILE_ROWS), min(spark.sparkContext.defaultParallelism, -(-n // LEAST_FILE_ROWS)), 1)
+            order = [F.col("posted_day").desc_nulls_last(), F.col("id")]
+            table.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+        _served[key] = spark.read.parquet(path)
+    return _served[key]
+
+
 def _overlap(column: str, values: tuple | None, kind: str = "string") -> Column:
     return F.arrays_overlap(F.col(column), F.array(*map(F.lit, values)).cast(f"array<{kind}>")) if values else F.lit(False)
 
@@ -150,17 +178,13 @@ class Search:
 
     def __init__(self, rows: DataFrame, query: SearchQuery):
         self.query = query
-        hard = F.lit(True)
         if query.within_days is not None:
-            hard &= F.col("posted_day") >= query.now_ms // DAY_MS - query.within_days
+            rows = rows.where(F.col("posted_day") >= query.now_ms // DAY_MS - query.within_days)
         if query.minimum_pay:
-            hard &= (F.col("currency") == query.minimum_pay[1]) & (F.col("reach") >= query.minimum_pay[0])
-        if terms := fold_text(query.text).split():
-            folded = fold(F.concat_ws(" ", "title", "company"))
-            rows = rows.withColumn("search_text", folded)
-            for term in terms:
-                hard &= F.contains("search_text", F.lit(term))
-        self.rows = rows.where(hard)
+            rows = rows.where((F.col("currency") == query.minimum_pay[1]) & (F.col("reach") >= query.minimum_pay[0]))
+        for term in fold_text(query.text).split():
+            rows = rows.where(F.contains("search_text", F.lit(term)))
+        self.rows = rows
         self.groups: dict[str, Column] = {}
         if any(x is not None for x in (query.countries, query.divisions, query.cities)):
             anywhere = F.col("anywhere") if query.include_anywhere else F.lit(False)
@@ -178,13 +202,14 @@ class Search:
                 self.thresholds[c.question] = c.at_least
                 given = F.col(f"q_{c.question}")
                 self.groups[f"answer:{c.question}"] = given.isNotNull() & (probability_of(given, places) >= c.at_least)
+        self.filters = list(self.groups.values())  # a null is no match: as they are, they reach the files
         self.groups = {k: F.coalesce(v, F.lit(False)) for k, v in self.groups.items()}
 
     def matches(self) -> DataFrame:
-        ok = F.lit(True)
-        for group in self.groups.values():
-            ok &= group
-        return self.rows.where(ok)
+        out = self.rows
+        for f in self.filters:
+            out = out.where(f)
+        return out
 
     def total(self) -> DataFrame:
         return self.matches().agg(F.count("*").alias("total"))
@@ -195,8 +220,8 @@ class Search:
         if q.sort_pay:
             order.insert(0, F.when(F.col("currency") == q.sort_pay, F.col("reach")).desc_nulls_last())
         top = self.matches().orderBy(*order).limit(q.offset + q.limit)
-        # the page is at most offset + limit rows: numbering them in one task is bounded by the query
-        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
+        # the page is at most offset + limit rows in one task already: numbering them moves nothing
+        place = F.row_number().over(Window.orderBy(*order))
         numbered = top.withColumn("place", place).where(F.col("place") > q.offset)
         return numbered.select("place", "id", "title", "company", "workplace", "posted_day", F.array_join("countries", ",").alias("countries"), F.array_join("employment_types", ",").alias("employment"), "currency", "reach")
 

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..tables import table
-from .search import Criterion, Search, SearchQuery, index_table
+from ..tables import shared, stamp, table
+from .search import Criterion, Search, SearchQuery, serve
 
 NOW = 1_783_641_600_000
 _Q = SearchQuery(now_ms=NOW)
 
 
 def _search(spark: SparkSession, sf: str, query: SearchQuery) -> Search:
-    return Search(index_table(table(spark, sf, "index_rows")), query)
+    return Search(served(spark, sf), query)
+
+
+def served(spark: SparkSession, sf: str) -> DataFrame:
+    """The search index of index_rows, written at the first query on a state of that table."""
+    return serve(table(spark, sf, "index_rows"), shared(spark, f"index-{stamp(spark, f'{sf}/index_rows.parquet')}"))
 
 
 #: The table as SQL sees it: each posting once, wrong widths left out.

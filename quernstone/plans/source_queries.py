@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import places
 from ..operators import lifecycle as L
 from ..sources import index_io, listings, robots
 from ..streaming import windows
-from ..tables import checkpoint_dir, cut, table
+from ..tables import cut, exists, latest, shared, stamp, table
+from .lifecycle_queries import _SEEN
 from .search import QUESTIONS
 
+#: Events before the first time are early, those before the second come next.
+_EARLY, _NEXT = "2024-01-15 00:00:00", "2024-01-20 00:00:00"
 #: Countries here are codes of two letters; their first letter stands for a continent.
 _ORDER = ["A", "Q", "X", "Z", "anywhere"]
 
 
 def _parted(spark: SparkSession, sf: str, rows: int = index_io.PART_ROWS) -> DataFrame:
-    own = table(spark, sf, "index_rows").dropDuplicates(["id"])
+    own = latest(table(spark, sf, "index_rows"), ["id"], ["posted_at"])
     letters = {r["c"]: r["c"][:1] for r in table(spark, sf, "gazetteer_cities").select(F.col("country").alias("c")).distinct().collect()}  # one row a country
     return index_io.parts(own, index_io.regions(F.col("places"), F.col("anywhere"), letters, _ORDER), rows)
 
@@ -76,6 +76,31 @@ def register(query) -> None:
     def shard_union_dedupe(spark: SparkSession, sf: str):
         return _parted(spark, sf).select("id", "region").dropDuplicates(["id"]).agg(F.count("*").alias("n"))
 
+    def written(spark: SparkSession, sf: str) -> str:
+        """The index of this state of the table, written once."""
+        path = shared(spark, f"parts-{stamp(spark, f'{sf}/index_rows.parquet')}")
+        if not exists(spark, f"{path}/header/_SUCCESS"):
+            index_io.write(cut(_parted(spark, sf, 500)), path, QUESTIONS)
+        return path
+
+    @query(f"WITH {_ROWS} SELECT DISTINCT f.id, r2.url FROM f JOIN (SELECT id, any_value(url) AS url FROM index_rows GROUP BY id) r2 USING (id) WHERE region IN ('A', 'anywhere')")
+    def index_read_regions(spark: SparkSession, sf: str):
+        """Two regions of the written index with the links kept beside it."""
+        path = written(spark, sf)
+        rows = index_io.read(spark, path, ["A"], QUESTIONS)
+        return index_io.with_links(rows.select("id"), spark.read.parquet(f"{path}/links"))
+
+    @query(f"WITH {_ROWS}, k AS (SELECT region, (row_number() OVER (PARTITION BY region ORDER BY posted_at DESC NULLS LAST, id) - 1) // 500 AS part FROM f) SELECT region, count(DISTINCT part) AS parts, count(*) AS n FROM k GROUP BY region")
+    def index_manifest(spark: SparkSession, sf: str):
+        """Parts and rows of each region as the written manifest has them."""
+        entries = spark.read.schema(index_io.ENTRIES).json(f"{written(spark, sf)}/manifest", mode="FAILFAST")
+        return entries.groupBy("region").agg(F.count("*").alias("parts"), F.sum("n").alias("n"))
+
+    @query("SELECT 0 AS wrong")
+    def index_check(spark: SparkSession, sf: str):
+        wrong = index_io.check(spark, written(spark, sf), QUESTIONS)
+        return spark.createDataFrame([(len([w for w in wrong if "budget" not in w]),)], "wrong int")
+
     @query("SELECT DISTINCT id, 'wrong width' AS problem FROM index_rows WHERE len(answers['arrangement']) <> 4 OR len(answers['on_call']) <> 2")
     def index_inconsistencies(spark: SparkSession, sf: str):
         return index_io.inconsistent(table(spark, sf, "index_rows"), QUESTIONS).distinct()
@@ -123,49 +148,59 @@ UNION ALL SELECT division_name || ', ' || country_name, country, division, NULL,
         files = own.select("host").distinct().withColumn("body", F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /Senior\nAllow: /Senior B\nDisallow: /*.pdf$\n"))
         return robots.allowed(own, robots.rules_table(files, "host", "body"), "quernstone")
 
-    def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-        path = f"{sf}/{name}.parquet"
-        one = f"{sf}/{name[:-1]}[{name[-1]}].parquet"  # a stream reads a folder or a pattern, not a file
-        own = windows.stream_of(spark, path if os.path.isdir(path) else one, table(spark, sf, name).schema, 100)
-        return own.withColumn("ts", F.col("ts").cast("timestamp"))
-
-    def folder(spark: SparkSession) -> str:
-        return tempfile.mkdtemp(dir=None if spark.sparkContext.master.startswith("local[") else checkpoint_dir(spark).removeprefix("file://"))
-
     n = iter(range(1 << 30))
 
-    def drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-        return windows.drain(df, folder(spark), f"quernstone_stream_{next(n)}", mode)
-
-    _day = "time_bucket(INTERVAL '1 hour', ts)"
-
-    @query(f"SELECT CAST({_day} AS VARCHAR) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY {_day}, event_type")
+    def drained(spark: SparkSession, df: DataFrame) -> DataFrame:
+        return windows.drain(df, shared(spark, f"stream-{spark.sparkContext.applicationId}-{next(n)}"))
+
+    def delivered(spark: SparkSession, df: DataFrame, name: str, stamped: str, parts: list[Column]) -> DataFrame:
+        """A stream of the rows of ``df`` in the order of ``parts``, one delivery a trigger."""
+        path = shared(spark, f"{name}-{stamped}")
+        if not exists(spark, f"{path}/{len(parts) - 1}/_SUCCESS"):
+            for i, part in enumerate(parts):
+                df.where(part).coalesce(1).write.mode("overwrite").parquet(f"{path}/{i}")  # a delivery is a file: triggers take whole files
+        return windows.stream_of(spark, f"{path}/*", df.schema)
+
+    def events(spark: SparkSession, sf: str) -> DataFrame:
+        """All events, a tenth of the early ones late: after the watermark has passed most of them."""
+        own = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+        early, late, next_ = F.col("ts") < F.lit(_EARLY).cast("timestamp"), F.col("event_id") % 10 == 0, F.col("ts") < F.lit(_NEXT).cast("timestamp")
+        return delivered(spark, own, "events", stamp(spark, f"{sf}/events.parquet"), [early & ~late, ~early & next_, early & late, ~next_])
+
+    _hour = "time_bucket(INTERVAL '1 hour', ts)"
+    #: Late rows are compared with the watermark of the trigger before; windows come out up to the last watermark.
+    _taken = f"""WITH e AS (SELECT *, ts < TIMESTAMP '{_EARLY}' AS early, event_id % 10 = 0 AS late FROM events),
+k AS (SELECT max(ts) FILTER (early AND NOT late) - INTERVAL '1 day' AS dropped, max(ts) - INTERVAL '1 day' AS closed FROM e)"""
+
+    @query(f"{_taken} SELECT CAST({_hour} AS VARCHAR) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e, k WHERE NOT (early AND late AND {_hour} + INTERVAL '1 hour' <= dropped) AND {_hour} + INTERVAL '1 hour' <= closed GROUP BY {_hour}, event_type")
     def stream_tumbling(spark: SparkSession, sf: str):
-        out = windows.tumbling(stream(spark, sf, "events"), "ts", "1 hour", "1 day", "event_type", "value")
-        return drained(spark, out, "complete").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+        out = windows.tumbling(events(spark, sf), "ts", "1 hour", "1 day", "event_type", "value")
+        return drained(spark, out).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
-    @query("SELECT CAST(time_bucket(INTERVAL '6 hours', ts) - to_hours(6 * k) AS VARCHAR) AS window_start, event_type, count(*) AS n FROM events, range(4) t(k) GROUP BY 1, 2")
+    @query(f"{_taken}, w AS (SELECT time_bucket(INTERVAL '6 hours', ts) - to_hours(6 * i) AS s, event_type, early AND late AS l FROM e, range(4) t(i)) SELECT CAST(s AS VARCHAR) AS window_start, event_type, count(*) AS n FROM w, k WHERE NOT (l AND s + INTERVAL '24 hours' <= dropped) AND s + INTERVAL '24 hours' <= closed GROUP BY s, event_type")
     def stream_sliding(spark: SparkSession, sf: str):
-        out = windows.sliding(stream(spark, sf, "events"), "ts", "24 hours", "6 hours", "1 day", "event_type")
-        return drained(spark, out, "complete").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
+        out = windows.sliding(events(spark, sf), "ts", "24 hours", "6 hours", "1 day", "event_type")
+        return drained(spark, out).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
 
-    @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS s FROM events), k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS i FROM g)
-SELECT user_id, CAST(date_trunc('second', min(ts)) AS VARCHAR) AS session_start, count(*) AS n FROM k GROUP BY user_id, i""")
+    #: Sessions of the first delivery that the watermark has passed are closed: a late row joins them no more.
+    _numbered = "SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS i FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS s FROM {})"
+
+    @query(f"""{_taken}, a AS ({_numbered.format("(SELECT * FROM e WHERE early AND NOT late)")}), c AS (SELECT *, max(ts) OVER (PARTITION BY user_id, i) + INTERVAL '6 hours' <= dropped AS closed_first FROM a, k),
+r AS (SELECT user_id, ts FROM c WHERE NOT closed_first UNION ALL SELECT user_id, ts FROM e, k WHERE NOT (early AND NOT late) AND NOT (early AND ts + INTERVAL '6 hours' <= dropped)), n AS ({_numbered.format("r")}),
+s AS (SELECT user_id, ts, i, closed_first FROM c WHERE closed_first UNION ALL SELECT user_id, ts, i, false FROM n)
+SELECT user_id, CAST(date_trunc('second', min(ts)) AS VARCHAR) AS session_start, count(*) AS n FROM s, k GROUP BY user_id, i, closed_first, closed HAVING max(ts) + INTERVAL '6 hours' <= closed""")
     def stream_session(spark: SparkSession, sf: str):
-        out = windows.sessions(stream(spark, sf, "events"), "ts", "6 hours", "1 day", "user_id")
-        return drained(spark, out, "complete").select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
+        out = windows.sessions(events(spark, sf), "ts", "6 hours", "1 day", "user_id")
+        return drained(spark, out).select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
 
     @query("SELECT count(DISTINCT event_id) AS n FROM events")
     def stream_dedupe(spark: SparkSession, sf: str):
-        out = windows.once_within(stream(spark, sf, "events"), "ts", "40 days", ["event_id"])
-        return drained(spark, out.select("event_id"), "append").agg(F.count("*").alias("n"))
+        out = windows.once_within(events(spark, sf), "ts", "40 days", ["event_id"])
+        return drained(spark, out.select("event_id")).agg(F.count("*").alias("n"))
 
-    @query()
+    @query(f"{_SEEN} SELECT * FROM runs")
     def stream_presence_state(spark: SparkSession, sf: str):
-        """Presence runs kept as state a posting; equal to the batch runs but for crawls that only extend."""
-        seen = cut(L.sightings(table(spark, sf, "board_listings"), table(spark, sf, "board_crawls")).select("board_id", "posting_id", "seq", "id"))
-        path = f"{folder(spark)}/seen"
-        seen.write.parquet(path)
-        runs = windows.presence_stream(windows.stream_of(spark, path, seen.schema, 1000))
-        out = drained(spark, runs, "update")
-        return out.groupBy("board_id", "posting_id", "first_crawl_id").agg(F.max("last_crawl_id").alias("last_crawl_id"))
+        """Presence runs kept as state a posting, the sightings out of order: the batch runs come out."""
+        seen = L.sightings(table(spark, sf, "board_listings"), table(spark, sf, "board_crawls")).select("board_id", "posting_id", "seq", "id", "extends_to")
+        stamped = stamp(spark, f"{sf}/board_listings.parquet") + stamp(spark, f"{sf}/board_crawls.parquet")
+        return windows.latest_runs(drained(spark, windows.presence_stream(delivered(spark, seen, "seen", stamped, [F.col("seq") % 3 == r for r in (1, 0, 2)]))))

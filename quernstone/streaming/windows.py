@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..tables import remove
+
 
 def stream_of(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
     """A folder (or file name pattern) of Parquet files as a stream."""
@@ -36,36 +38,53 @@ def once_within(events: DataFrame, time: str, late: str, keys: list[str]) -> Dat
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-#: Rows of a board a presence state may hold: the postings of one board's current listing.
 def presence_stream(sightings: DataFrame) -> DataFrame:
-    """board_id, posting_id, first_crawl_id, last_crawl_id as runs grow, from (board_id, posting_id, seq, id).
+    """board_id, posting_id, first_crawl_id, last_crawl_id, version: runs as they grow, from (board_id, posting_id, seq, id, extends_to).
 
-    State is one open run a posting.  A sighting next in sequence extends it; a gap begins a new run and the old one
-    has been given out already.  Each trigger gives the runs it touched: the last row of a (posting, first crawl) counts.
+    State is the list of a posting's runs (as many as it was gone and came back).  A sighting joins the runs
+    next to it, whenever it comes: a late one closes a gap or opens a run before those known, one delivered
+    again changes nothing but how far its crawl extends.  Each trigger gives the runs it touched and, with a
+    null last crawl, those that were joined to an earlier one: of each (posting, first crawl) the row of the
+    greatest version holds.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         board, posting = key
-        seq, first, last = state.get if state.exists else (None, None, None)
-        touched: dict[int, int] = {}
-        rows = sorted({(int(s), int(i)) for p in parts for s, i in zip(p["seq"], p["id"])})
-        for s, i in rows:
-            if seq is not None and s <= seq:
-                continue  # delivered again, or older than what is known
-            if seq is None or s > seq + 1:
-                first = i
-            seq, last = s, i
-            touched[first] = last
-        state.update((seq, first, last))
-        yield pd.DataFrame({"board_id": board, "posting_id": posting, "first_crawl_id": list(touched), "last_crawl_id": list(touched.values())})
-
-    return sightings.groupBy("board_id", "posting_id").applyInPandasWithState(
-        step, "board_id string, posting_id string, first_crawl_id bigint, last_crawl_id bigint", "seq bigint, first bigint, last bigint", "update", GroupStateTimeout.NoTimeout
-    )
-
-
-def drain(stream: DataFrame, checkpoint: str, name: str, mode: str = "append") -> DataFrame:
-    """Runs the stream over what is there and gives its rows: for tests and backfills of bounded size."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        version, flat = state.get if state.exists else (0, [])
+        version += 1
+        runs = [tuple(flat[i : i + 4]) for i in range(0, len(flat), 4)]  # first and last seq, first crawl, last crawl
+        before = set(runs)
+        new = [(int(s), int(s), int(i), int(e)) for p in parts for s, i, e in zip(p["seq"], p["id"], p["extends_to"])]
+        joined: list[tuple] = []
+        for run in sorted(runs + new):
+            if joined and run[0] <= joined[-1][1] + 1:
+                last = joined[-1]
+                joined[-1] = (last[0], max(last[1], run[1]), min(last[2], run[2]), max(last[3], run[3]))
+            else:
+                joined.append(run)
+        state.update((version, [x for run in joined for x in run]))
+        rows = [(r[2], r[3]) for r in joined if r not in before] + [(r[2], None) for r in runs if r[2] not in {j[2] for j in joined}]
+        if rows:
+            first, last = zip(*rows)
+            yield pd.DataFrame({"board_id": board, "posting_id": posting, "first_crawl_id": pd.array(first, "Int64"), "last_crawl_id": pd.array(last, "Int64"), "version": version})
+
+    schema = "board_id string, posting_id string, first_crawl_id bigint, last_crawl_id bigint, version bigint"
+    return sightings.groupBy("board_id", "posting_id").applyInPandasWithState(step, schema, "version bigint, runs array<bigint>", "append", GroupStateTimeout.NoTimeout)
+
+
+def latest_runs(grown: DataFrame) -> DataFrame:
+    """The runs as the last versions of ``presence_stream`` have them."""
+    last = grown.groupBy("board_id", "posting_id", "first_crawl_id").agg(F.max_by("last_crawl_id", "version").alias("last_crawl_id"))
+    return last.where("last_crawl_id IS NOT NULL")
+
+
+def drain(stream: DataFrame, path: str) -> DataFrame:
+    """Runs the stream over what is there into files below ``path`` (a shared folder), and reads them.
+
+    Rows are appended, so a window comes out when the watermark has passed its end.
+    """
+    spark = stream.sparkSession
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    remove(spark, f"{path}/state")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")

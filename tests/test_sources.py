@@ -63,20 +63,24 @@ def test_index_round_trip(spark, tmp_path):
     parted = index_io.parts(rows, region, 10).cache()
     path = str(tmp_path / "index")
     name = index_io.write(parted, path, QUESTIONS)
-    assert name == index_io.build_id(index_io.manifest(parted.repartition(3))).first().build and len(name) == 12
+    assert name == index_io.build_id(index_io.manifest(parted.repartition(3)), index_io.fingerprint(QUESTIONS)).first().build and len(name) == 12
+    assert name != index_io.build_id(index_io.manifest(parted), index_io.fingerprint(QUESTIONS, {"arrangement": 2})).first().build
     back = index_io.read(spark, path)
-    assert back.count() == rows.count() and index_io.check(path, QUESTIONS) == []
+    assert back.count() == rows.count() and index_io.check(spark, path, QUESTIONS) == []
     assert index_io.with_links(back, spark.read.parquet(f"{path}/links")).where("url IS NULL").count() == 0
     some = {r.region for r in index_io.read(spark, path, ["A"]).select("region").distinct().collect()}
     assert some <= {"A", "anywhere"}
-    assert index_io.check(path, {"arrangement": ("x",)}) != []
+    assert index_io.check(spark, path, {"arrangement": ("x",)}) == ["questions differ"]
+    with pytest.raises(ValueError, match="holds"):
+        index_io.read(spark, path, questions=QUESTIONS, versions={"arrangement": 2})
+    spark.read.parquet(f"{path}/links").limit(1).write.mode("append").partitionBy("region", "part").parquet(f"{path}/links")
+    assert any("other rows" in w for w in index_io.check(spark, path, QUESTIONS))
 
 
 def test_stream_keeps_presence_runs(spark, tmp_path):
-    schema = "board_id string, posting_id string, seq bigint, id bigint"
-    for i, rows in enumerate([[("b", "x", 1, 10), ("b", "y", 1, 10)], [("b", "x", 2, 20), ("b", "x", 2, 20)], [("b", "y", 3, 30)]]):
+    schema = "board_id string, posting_id string, seq bigint, id bigint, extends_to bigint"
+    for i, rows in enumerate([[("b", "x", 1, 10, 11), ("b", "y", 1, 10, 11)], [("b", "x", 3, 30, 30), ("b", "x", 3, 30, 30)], [("b", "y", 3, 30, 35)], [("b", "x", 2, 20, 25), ("b", "x", 1, 10, 11)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{i}"))
     stream = windows.stream_of(spark, str(tmp_path / "in/*"), spark.createDataFrame([], schema).schema)
-    out = windows.drain(windows.presence_stream(stream), str(tmp_path / "state"), "presence_test", "update")
-    got = {tuple(r) for r in out.groupBy("posting_id", "first_crawl_id").agg(F.max("last_crawl_id")).collect()}
-    assert got == {("x", 10, 20), ("y", 10, 10), ("y", 30, 30)}
+    out = windows.latest_runs(windows.drain(windows.presence_stream(stream), str(tmp_path / "drained")))
+    assert {tuple(r) for r in out.collect()} == {("b", "x", 10, 30), ("b", "y", 10, 11), ("b", "y", 30, 35)}
