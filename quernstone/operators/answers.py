@@ -13,11 +13,12 @@ MIN_PREFIX = 10
 def by_content(postings: DataFrame, answered: DataFrame) -> DataFrame:
     """content_hash, question, distribution: one answer a text and question, shared by all postings of the text.
 
-    ``postings``: id, content_hash; ``answered``: id, answers (a map).  Of several the first in array order counts.
+    ``postings``: id, content_hash; ``answered``: id, answers (a map), at.  Of several the one given last counts,
+    of equally late ones the greatest.
     """
-    each = answered.select("id", F.explode("answers").alias("question", "distribution"))
+    each = answered.select("id", F.coalesce("at", F.lit(-(1 << 62))).alias("at"), F.explode("answers").alias("question", "distribution"))
     joined = each.join(postings.select("id", "content_hash").distinct(), "id").where("content_hash IS NOT NULL")
-    return joined.groupBy("content_hash", "question").agg(F.min("distribution").alias("distribution"))
+    return joined.groupBy("content_hash", "question").agg(F.max(F.struct("at", "distribution"))["distribution"].alias("distribution"))
 
 
 def answer_maps(contents: DataFrame) -> DataFrame:

@@ -6,17 +6,19 @@ it held; it extends presence and is a success, but only listed crawls are eviden
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import latest
+
 LISTED, SUCCESS = "listed", ("listed", "not-modified")
 GONE_AFTER, GONE_SPAN_MS = 3, 48 * 3_600_000
 GRACE = 2
 
 
-def once(df: DataFrame, key: str = "id") -> DataFrame:
-    """Each row delivered twice once."""
-    return df.where(F.col(key).isNotNull()).dropDuplicates([key])
+def once(df: DataFrame, key: str = "id", order: tuple[str, ...] = ()) -> DataFrame:
+    """Each key once: of rows that differ the last in ``order``, then that of the greatest hash."""
+    return latest(df.where(F.col(key).isNotNull()), [key], list(order))
 
 
 def listings(crawls: DataFrame) -> DataFrame:
@@ -30,10 +32,11 @@ def listings(crawls: DataFrame) -> DataFrame:
 def sightings(items: DataFrame, crawls: DataFrame) -> DataFrame:
     """board_id, posting_id, seq, id, extends_to, content_hash: each posting once a listing.
 
-    An invalid item is a sighting of a posting that was known before, without content.
+    An invalid item is a sighting of a posting that was known before, without content.  Of several
+    contents in one listing the one recorded last counts, of equally late ones the greatest.
     """
-    rows = items.where("posting_id IS NOT NULL").select(F.col("crawl_id").alias("id"), "posting_id", F.when(F.col("kind") == "posting", F.col("content_hash")).alias("hash"))
-    rows = rows.join(listings(crawls), "id").groupBy("board_id", "posting_id", "seq", "id", "extends_to").agg(F.max("hash").alias("content_hash"))
+    rows = items.where("posting_id IS NOT NULL").select(F.col("crawl_id").alias("id"), "posting_id", F.when(F.col("kind") == "posting", F.col("content_hash")).alias("hash"), F.coalesce("recorded_at", F.lit(-(1 << 62))).alias("t"))
+    rows = rows.join(listings(crawls), "id").groupBy("board_id", "posting_id", "seq", "id", "extends_to").agg(F.max(F.when(F.col("hash").isNotNull(), F.struct("t", "hash")))["hash"].alias("content_hash"))
     known = Window.partitionBy("board_id", "posting_id")
     first = F.min(F.when(F.col("content_hash").isNotNull(), F.col("seq"))).over(known)
     return rows.withColumn("known", first).where("seq >= known").drop("known")
@@ -90,13 +93,13 @@ def failure_state(crawls: DataFrame) -> DataFrame:
     return state.withColumn("gone", F.coalesce(gone, F.lit(False))).drop("until")
 
 
-def gone_boards(crawls: DataFrame) -> DataFrame:
+def gone_boards(crawls: DataFrame, outcome: str = "not-found", after: int = GONE_AFTER, span_ms: int = GONE_SPAN_MS) -> DataFrame:
     """board_id, crawl_id at which a board first counts as gone: run lengths within stretches without success."""
     by = Window.partitionBy("board_id").orderBy("id")
-    one = once(crawls).withColumn("stretch", F.count_if(F.col("outcome").isin(*SUCCESS)).over(by)).where("outcome = 'not-found'")
+    one = once(crawls).withColumn("stretch", F.count_if(F.col("outcome").isin(*SUCCESS)).over(by)).where(F.col("outcome") == outcome)
     inside = Window.partitionBy("board_id", "stretch").orderBy("id")
     run = one.withColumns({"n": F.row_number().over(inside), "since": F.first("started_at").over(inside)})
-    hit = run.where((F.col("n") >= GONE_AFTER) & (F.col("started_at") - F.col("since") >= GONE_SPAN_MS))
+    hit = run.where((F.col("n") >= after) & (F.col("started_at") - F.col("since") >= span_ms))
     return hit.groupBy("board_id").agg(F.min("id").alias("crawl_id"))
 
 
@@ -119,7 +122,7 @@ def run_summary(crawls: DataFrame, boards: DataFrame) -> DataFrame:
 def run_margin(crawls: DataFrame, boards: DataFrame) -> DataFrame:
     """run_id, source ("All" for the margin), crawls, new and changed postings."""
     joined = once(crawls).join(once(boards).select(F.col("id").alias("board_id"), "source"), "board_id")
-    total = joined.cube("run_id", "source").agg(F.grouping("run_id").alias("g"), F.grouping("source").alias("s"), F.count("*").alias("crawls"), F.sum("new_count").alias("new_postings"), F.sum("changed_count").alias("changed_postings"))
+    total = joined.rollup("run_id", "source").agg(F.grouping("run_id").alias("g"), F.grouping("source").alias("s"), F.count("*").alias("crawls"), F.sum("new_count").alias("new_postings"), F.sum("changed_count").alias("changed_postings"))
     return total.where("g = 0").select("run_id", F.when(F.col("s") == 1, "All").otherwise(F.col("source")).alias("source"), "crawls", "new_postings", "changed_postings")
 
 
@@ -146,14 +149,47 @@ def claimed_counts(items: DataFrame, crawls: DataFrame) -> DataFrame:
     return both.where(~F.col("listed_count").eqNullSafe(F.col("found")))
 
 
+#: Values of a bucket of the first count; no task numbers more than this many, or one a bucket.
+BUCKET = 1 << 16
+
+
+def nearest_ranks(counts: DataFrame, groups: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """groups and a column a quantile: nearest rank over (groups, v, n), found by counting.
+
+    Buckets of values are counted first; only the values of the bucket a rank falls in are counted
+    one by one.  Counts are partial before each shuffle, so no group is ever held in one place.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("q"), F.lit(q).alias("p")) for name, q in quantiles.items()]))
+    keyed = counts.withColumn("bucket", F.floor(F.col("v") / BUCKET))
+
+    def hit(rows: DataFrame, by: str, rank: Column) -> DataFrame:
+        up_to = F.sum("n").over(Window.partitionBy(*groups, "q").orderBy(by))
+        found = rows.withColumn("up_to", up_to).withColumn("rank", rank)
+        return found.where((F.col("up_to") >= F.col("rank")) & (F.col("up_to") - F.col("n") < F.col("rank")))
+
+    total = F.sum("n").over(Window.partitionBy(*groups, "x.q"))
+    buckets = keyed.groupBy(*groups, "bucket").agg(F.sum("n").alias("n")).withColumn("x", each)
+    buckets = buckets.withColumn("total", total).select(*groups, "x.q", "x.p", "bucket", "n", "total")
+    first = hit(buckets, "bucket", F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("total") - 1e-9)))
+    first = first.select(*[F.col(g).alias(f"_{g}") for g in groups], "q", F.col("bucket").alias("_bucket"), (F.col("rank") - F.col("up_to") + F.col("n")).alias("left"))
+    inside = keyed.join(first, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups] + [F.col("bucket") == F.col("_bucket")])
+    inside = inside.groupBy(*groups, "q", "left", "v").agg(F.sum("n").alias("n"))
+    return hit(inside, "v", F.col("left")).groupBy(*groups).agg(*[F.max(F.when(F.col("q") == name, F.col("v"))).alias(name) for name in quantiles])
+
+
 def freshness(samples: DataFrame) -> DataFrame:
     """source ("All" for the margin), postings, timed, p50_hours, p95_hours by nearest rank."""
-    one = once(samples, "sample_id").withColumn("v", F.greatest("latency_ms", F.lit(0)))
-    one = one.withColumn("v", F.when(F.col("latency_ms").isNotNull(), F.col("v")))
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY v)")
-    stats = one.rollup("source").agg(F.grouping("source").alias("g"), F.count("*").alias("postings"), F.count("v").alias("timed"), p(0.5).alias("p50"), p(0.95).alias("p95"))
+    last = [c for c in ("first_seen_at",) if c in samples.columns]
+    one = once(samples.select("sample_id", "source", "latency_ms", *last), "sample_id", tuple(last))
+    v = F.when(F.col("latency_ms").isNotNull(), F.greatest("latency_ms", F.lit(0)))
+    counts = one.groupBy("source", v.alias("v")).agg(F.count("*").alias("n"))
+    margin = F.explode(F.array(F.struct(F.lit(False).alias("all"), F.col("source").alias("of")), F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("of"))))
+    both = counts.withColumn("m", margin).select("m.all", "m.of", "v", "n")
+    sums = both.groupBy("all", "of").agg(F.sum("n").alias("postings"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("timed"))
+    ranks = nearest_ranks(both.where("v IS NOT NULL"), ["all", "of"], {"p50": 0.5, "p95": 0.95}).withColumnsRenamed({"all": "_all", "of": "_of"})
+    stats = sums.join(ranks, (F.col("all") == F.col("_all")) & F.col("of").eqNullSafe(F.col("_of")), "left")
     hours = lambda c: (F.floor(F.col(c) / 360000.0 + 0.5) / 10).cast("double").alias(f"{c}_hours")
-    return stats.select(F.when(F.col("g") == 1, "All").otherwise(F.col("source")).alias("source"), "postings", "timed", hours("p50"), hours("p95"))
+    return stats.select(F.when(F.col("all"), "All").otherwise(F.col("of")).alias("source"), "postings", "timed", hours("p50"), hours("p95"))
 
 
 def retained(snapshots: DataFrame, daily: int = 14, weekly: int = 12) -> DataFrame:

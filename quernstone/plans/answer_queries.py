@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, numbers, text
 from ..operators import answers as A
-from ..tables import table
+from ..tables import latest, table
 from .search import QUESTIONS
 
 WANTED = sorted(QUESTIONS)
 OPTIONS = list(QUESTIONS["arrangement"])
 
 _P = "p AS (SELECT DISTINCT id, content_hash FROM criterion_postings WHERE content_hash IS NOT NULL)"
-_ANS = f"""{_P}, e AS (SELECT DISTINCT id, 'arrangement' AS question, answers['arrangement'] AS d FROM index_rows WHERE answers['arrangement'] IS NOT NULL UNION SELECT id, 'on_call', answers['on_call'] FROM index_rows WHERE answers['on_call'] IS NOT NULL),
-c AS (SELECT content_hash, question, min(d) AS d FROM e JOIN p USING (id) GROUP BY 1, 2)"""
+_ANS = f"""{_P}, e AS (SELECT DISTINCT id, posted_at, 'arrangement' AS question, answers['arrangement'] AS d FROM index_rows WHERE answers['arrangement'] IS NOT NULL UNION SELECT id, posted_at, 'on_call', answers['on_call'] FROM index_rows WHERE answers['on_call'] IS NOT NULL),
+c AS (SELECT content_hash, question, max({{'t': coalesce(posted_at, -4611686018427387904), 'd': d}}).d AS d FROM e JOIN p USING (id) GROUP BY 1, 2)"""
 _UNITS = f"""{_ANS}, h AS (SELECT content_hash, list(question) AS qs FROM c GROUP BY 1), n AS (SELECT content_hash, count(*) AS postings FROM p GROUP BY 1),
 u AS (SELECT n.content_hash, n.postings, list_filter(['arrangement', 'on_call'], lambda q: NOT coalesce(list_contains(h.qs, q), false)) AS missing FROM n LEFT JOIN h USING (content_hash))"""
 _LABELS = """l AS (SELECT id, any_value(workplace) AS workplace, any_value(answers['arrangement']) AS d FROM index_rows GROUP BY id),
@@ -29,11 +29,11 @@ def _postings(spark: SparkSession, sf: str):
 
 
 def _contents(spark: SparkSession, sf: str):
-    return A.by_content(_postings(spark, sf), table(spark, sf, "index_rows").select("id", "answers"))
+    return A.by_content(_postings(spark, sf), table(spark, sf, "index_rows").select("id", "answers", F.col("posted_at").alias("at")))
 
 
 def _judged(spark: SparkSession, sf: str):
-    rows = table(spark, sf, "index_rows").dropDuplicates(["id"])
+    rows = latest(table(spark, sf, "index_rows"), ["id"], ["posted_at"])
     labels = rows.select(F.col("id").alias("posting"), F.coalesce("workplace", F.lit("")).alias("option"))
     return A.judged(labels, rows.select(F.col("id").alias("posting"), F.try_element_at("answers", F.lit("arrangement")).alias("distribution")), OPTIONS)
 
@@ -143,7 +143,7 @@ f AS (SELECT id, {shares} AS x FROM s), g AS (SELECT id, x, 100 - list_sum([floo
 o AS (SELECT id, i, x[i] AS v, spare, row_number() OVER (PARTITION BY id ORDER BY x[i] - floor(x[i]) DESC, i) AS k FROM g, range(1, 4) t(i))
 SELECT id, string_agg(CAST(CAST(floor(v) + CASE WHEN k <= spare THEN 1 ELSE 0 END AS INT) AS VARCHAR), ',' ORDER BY i) AS shares FROM o GROUP BY id""")
     def distribution_hundredths(spark: SparkSession, sf: str):
-        rows = table(spark, sf, "index_rows").dropDuplicates(["id"]).where("pay.pay_min > 0 AND pay.pay_max > 0")
+        rows = latest(table(spark, sf, "index_rows"), ["id"], ["posted_at"]).where("pay.pay_min > 0 AND pay.pay_max > 0")
         return rows.select("id", F.array_join(numbers.hundredths(F.array("pay.pay_min", "pay.pay_max", F.length("title").cast("double"))).cast("array<string>"), ",").alias("shares"))
 
     @query("""SELECT event_id, CASE WHEN event_type <> 'error' AND k <= 100 THEN CAST(100 - k AS VARCHAR) || ',' || CAST(k AS VARCHAR) END AS shares FROM (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)""")
@@ -163,24 +163,40 @@ SELECT id, string_agg(CAST(CAST(floor(v) + CASE WHEN k <= spare THEN 1 ELSE 0 EN
 
     @query("SELECT id, floor(pay.pay_min * f + 0.5) AS low, floor(pay.pay_max * f + 0.5) AS high, greatest(floor(pay.pay_min * f + 0.5), floor(pay.pay_max * f + 0.5)) AS reach FROM (SELECT *, CASE pay.stated_per WHEN 'year' THEN 1 WHEN 'month' THEN 12 WHEN 'hour' THEN 2080 END AS f FROM (SELECT DISTINCT * FROM index_rows)) WHERE pay IS NOT NULL")
     def annual_pay(spark: SparkSession, sf: str):
-        rows = table(spark, sf, "index_rows").dropDuplicates(["id"]).where("pay IS NOT NULL")
+        rows = latest(table(spark, sf, "index_rows"), ["id"], ["posted_at"]).where("pay IS NOT NULL")
         low, high = (numbers.annual(F.col(f"pay.{c}"), F.col("pay.stated_per")) for c in ("pay_min", "pay_max"))
         return rows.select("id", low.alias("low"), high.alias("high"), numbers.pay_reach(low, high).alias("reach"))
 
-    @query("SELECT DISTINCT id, lower(regexp_replace(regexp_replace(title, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z]+', ' ', 'g')) AS words FROM criterion_postings WHERE regexp_matches(title, '(?i)intern|trainee|stage|permanent|employee')")
-    def employment_words(spark: SparkSession, sf: str):
-        rows = table(spark, sf, "criterion_postings").where(F.col("title").rlike("(?i)intern|trainee|stage|permanent|employee"))
-        words = F.lower(F.regexp_replace(F.regexp_replace("title", "([a-z])([A-Z])", "$1 $2"), "[^A-Za-z]+", " "))
-        return rows.select("id", words.alias("words")).distinct()
+    _WORDS = "' ' || lower(regexp_replace(regexp_replace(label, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z]+', ' ', 'g')) || ' '"
+    _KINDS = {"full-time": " full ?time ", "part-time": " (part ?time|working student|werkstudent) ", "contract": " (contract|contractor|freelance|freelancer|project based) ", "internship": " (intern|internship|trainee|apprentice|apprenticeship|alternance|stage|stagiaire) ", "temporary": " (temporary|temp|fixed term|short term|cdd) "}
+    _named = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(w, '{p}') THEN '{k}' END" for k, p in _KINDS.items()) + "], lambda x: x IS NOT NULL)"
 
-    @query()
+    @query(f"""WITH t AS (SELECT DISTINCT id, unnest(employment_types) AS t, title FROM index_rows), l AS (SELECT id, CASE WHEN length(title) % 3 = 0 THEN replace(initcap_(t), '-', '') WHEN length(title) % 3 = 1 THEN 'Permanent Employee, ' || upper(t) ELSE title || ' (' || t || ')' END AS label FROM t),
+w AS (SELECT id, label, {_WORDS} AS w FROM l), k AS (SELECT id, label, {_named} AS k, w FROM w) SELECT DISTINCT id, label, CASE WHEN len(k) > 0 THEN array_to_string(k, ',') WHEN regexp_matches(w, ' (permanent|employee|cdi|cadre) ') THEN 'full-time' ELSE '' END AS types FROM k""".replace("initcap_(t)", "array_to_string([upper(left(p, 1)) || p[2:] FOR p IN string_split(t, '-')], '-')"))
+    def employment_words(spark: SparkSession, sf: str):
+        """Stated labels in the ways systems write them."""
+        rows = table(spark, sf, "index_rows").select("id", "title", F.explode("employment_types").alias("t")).distinct()
+        camel = F.array_join(F.transform(F.split("t", "-"), F.initcap), "")
+        n = F.length("title") % 3
+        rows = rows.select("id", F.when(n == 0, camel).when(n == 1, F.concat(F.lit("Permanent Employee, "), F.upper("t"))).otherwise(F.concat("title", F.lit(" ("), "t", F.lit(")"))).alias("label"))
+        return rows.select("id", "label", F.array_join(text.employment_types(F.col("label")), ",").alias("types")).distinct()
+
+    @query(f"WITH l AS (SELECT DISTINCT id, title AS label FROM criterion_postings), w AS (SELECT id, {_WORDS} AS w FROM l), k AS (SELECT id, {_named} AS k, w FROM w) SELECT DISTINCT id, CASE WHEN len(k) > 0 THEN array_to_string(k, ',') WHEN regexp_matches(w, ' (permanent|employee|cdi|cadre) ') THEN 'full-time' ELSE '' END AS types FROM k")
     def employment_types(spark: SparkSession, sf: str):
         return table(spark, sf, "criterion_postings").select("id", F.array_join(text.employment_types(F.col("title")), ",").alias("types")).distinct()
 
-    @query()
+    _word = "(^|[^A-Za-z0-9_])"
+    _end = "($|[^A-Za-z0-9_])"
+
+    @query(f"""WITH r AS (SELECT id, any_value(title) AS t, any_value(locations) AS l FROM index_rows GROUP BY id), x AS (SELECT id, CASE WHEN length(t) % 11 = 0 THEN '*** EXTERNAL Test Job: ' || t WHEN length(t) % 11 = 1 THEN t || ' - do not apply' ELSE t END AS t, CASE WHEN length(t) % 11 = 2 THEN list_append(l, 'Z-test ' || t) ELSE l END AS l FROM r)
+SELECT id, coalesce(regexp_matches(t, '(?i)^[^A-Za-z0-9_]*((external|internal)\\s+)?(template|test (job|posting))\\s*[-:|\\]]|{_word}do not apply{_end}'), false) OR coalesce(list_bool_or([regexp_matches(x, '(?i){_word}(templates?|z-?test){_end}') FOR x IN l]), false) AS placeholder FROM x""")
     def placeholder_filter(spark: SparkSession, sf: str):
-        rows = table(spark, sf, "index_rows").dropDuplicates(["id"])
-        return rows.select("id", text.is_placeholder(F.col("title"), F.col("locations")).alias("placeholder"))
+        """Titles and labels as they are, and some with the signs of a placeholder."""
+        rows = latest(table(spark, sf, "index_rows"), ["id"], ["posted_at"])
+        n = F.length("title") % 11
+        title = F.when(n == 0, F.concat(F.lit("*** EXTERNAL Test Job: "), "title")).when(n == 1, F.concat("title", F.lit(" - do not apply"))).otherwise(F.col("title"))
+        labels = F.when(n == 2, F.array_append("locations", F.concat(F.lit("Z-test "), "title"))).otherwise(F.col("locations"))
+        return rows.select("id", text.is_placeholder(title, labels).alias("placeholder"))
 
     @query("SELECT event_id, CASE WHEN k >= 70 THEN 'likely' WHEN k >= 40 THEN 'maybe' ELSE 'unlikely' END AS band FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)")
     def confidence_bands(spark: SparkSession, sf: str):
@@ -190,9 +206,12 @@ SELECT id, string_agg(CAST(CAST(floor(v) + CASE WHEN k <= spare THEN 1 ELSE 0 EN
     def board_ids(spark: SparkSession, sf: str):
         return table(spark, sf, "boards").select("id", ids.board_id(F.col("source"), F.col("slug")).alias("made")).distinct()
 
-    @query()
+    _bits = "array_to_string([lpad(bin(('0x' || c)::INT), 4, '0') FOR c IN string_split(left(h, 20), '')], '')"
+
+    @query(f"""WITH r AS (SELECT DISTINCT board_id, external_id, sha256(board_id || ':' || external_id) AS h FROM board_listings WHERE external_id IS NOT NULL AND board_id IS NOT NULL), b AS (SELECT *, {_bits} AS bits FROM r)
+SELECT board_id, external_id, array_to_string([substr('abcdefghijklmnopqrstuvwxyz234567', 1 + list_reduce(list_prepend(0, [c::INT FOR c IN string_split(substr(bits, 1 + 5 * i, 5), '')]), lambda a, x: 2 * a + x), 1) FOR i IN range(16)], '') AS posting_id FROM b""")
     def posting_ids(spark: SparkSession, sf: str):
-        rows = table(spark, sf, "board_listings").select("board_id", "external_id").distinct()
+        rows = table(spark, sf, "board_listings").select("board_id", "external_id").where("board_id IS NOT NULL AND external_id IS NOT NULL").distinct()
         return rows.withColumn("posting_id", ids.posting_id(F.col("board_id"), F.col("external_id")))
 
     @query("SELECT id, sha256('{\"company\":' || to_json(company) || ',\"title\":' || to_json(title) || '}') AS hash FROM (SELECT DISTINCT id, company, title FROM criterion_postings)")
@@ -216,7 +235,7 @@ SELECT id, lower(printf('%08x', xor(h, h >> 16))) AS key FROM c ORDER BY key, id
         rows = table(spark, sf, "criterion_postings").select("id", F.coalesce("description", F.lit("")).alias("description")).distinct()
         return rows.select("id", text.html_to_text("description").alias("text"))
 
-    @query()
+    @query("SELECT event_id, sha256('{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}') AS hash FROM events")
     def canonical_json_hash(spark: SparkSession, sf: str):
         return table(spark, sf, "events").select("event_id", ids.content_hash(F.col("props")).alias("hash"))
 

@@ -14,7 +14,7 @@ _OK = "outcome IN ('listed', 'not-modified')"
 _SEEN = f"""WITH c AS ({_C}), ok AS (
   SELECT id, board_id, outcome, row_number() OVER (PARTITION BY board_id ORDER BY id) AS n, max(CASE WHEN outcome = 'listed' THEN id END) OVER (PARTITION BY board_id ORDER BY id) AS src FROM c WHERE {_OK}
 ), item AS (
-  SELECT o.board_id, l.crawl_id, l.posting_id, max(CASE WHEN kind = 'posting' THEN content_hash END) AS h FROM board_listings l JOIN ok o ON o.id = l.crawl_id AND o.outcome = 'listed' GROUP BY ALL
+  SELECT o.board_id, l.crawl_id, l.posting_id, max(CASE WHEN kind = 'posting' AND content_hash IS NOT NULL THEN {{'t': coalesce(recorded_at, -9000000000000000000), 'h': content_hash}} END).h AS h FROM board_listings l JOIN ok o ON o.id = l.crawl_id AND o.outcome = 'listed' GROUP BY ALL
 ), known AS (
   SELECT *, min(CASE WHEN h IS NOT NULL THEN crawl_id END) OVER (PARTITION BY board_id, posting_id) AS k FROM item
 ), s AS (
@@ -63,6 +63,13 @@ SELECT board_id, min(id) AS crawl_id FROM n WHERE k >= 3 AND started_at - since
     def board_gone(spark: SparkSession, sf: str):
         return L.gone_boards(table(spark, sf, "board_crawls"))
 
+    @query(f"""WITH c AS ({_C}), x AS (SELECT *, count(*) FILTER ({_OK}) OVER (PARTITION BY board_id ORDER BY id) AS st FROM c), n AS (
+  SELECT *, row_number() OVER w AS k, first_value(started_at) OVER w AS since FROM x WHERE outcome = 'failed' WINDOW w AS (PARTITION BY board_id, st ORDER BY id))
+SELECT board_id, min(id) AS crawl_id FROM n WHERE k >= 2 AND started_at - since >= 3600000 GROUP BY board_id""")
+    def board_failing(spark: SparkSession, sf: str):
+        """Boards with two failures in a row over an hour: the rule for gone boards with other bounds."""
+        return L.gone_boards(table(spark, sf, "board_crawls"), "failed", 2, 3_600_000)
+
     @query(f"""{_SEEN} SELECT f.board_id, f.posting_id, f.m AS first_seen_crawl FROM (SELECT board_id, posting_id, min(id) AS m FROM s GROUP BY ALL) f
 WHERE EXISTS (SELECT 1 FROM c WHERE c.board_id = f.board_id AND c.outcome = 'listed' AND c.id < f.m)""")
     def freshness_excludes_first_listing(spark: SparkSession, sf: str):

@@ -5,33 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ids, numbers, places, text
+from ..functions import ids, numbers, text
 from ..operators import asking, lifecycle
-from ..tables import table
+from ..tables import latest, table
 from .search import QUESTIONS
 
 _P = "p AS (SELECT DISTINCT id, content_hash, title, company, description, board_id FROM criterion_postings)"
 
 
 def _index(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "index_rows").dropDuplicates(["id"])
+    return latest(table(spark, sf, "index_rows"), ["id"], ["posted_at"])
 
 
 def register(query) -> None:
-    @query()
-    def derived_facets(spark: SparkSession, sf: str):
-        """Places, countries, arrangement and basis of each posting from its labels: each distinct label is read once."""
-        own = table(spark, sf, "criterion_postings").dropDuplicates(["id"]).select("id", "board_id", F.posexplode_outer(F.from_json("locations_json", "array<string>")).alias("pos", "label"))
-        read = places.read_labels(own, "label", table(spark, sf, "gazetteer_cities"))
-        home = table(spark, sf, "boards").select(F.col("id").alias("board_id"), F.col("country").alias("home")).dropDuplicates(["board_id"])
-        each = own.join(read, "label", "left").groupBy("id", "board_id").agg(
-            F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min_by("workplace", F.when(F.col("workplace").isNotNull(), F.col("pos"))).alias("workplace"), F.max("anywhere").alias("anywhere")
-        )
-        both = each.join(home, "board_id", "left")
-        inferred = (F.size("places") == 0) & ~F.coalesce("anywhere", F.lit(False)) & F.col("home").isNotNull()
-        countries = F.when(inferred, F.array("home")).otherwise(F.array_distinct(F.transform("places", lambda p: p["country"])))
-        return both.select("id", F.array_join(F.array_sort(countries), ",").alias("countries"), "workplace", F.coalesce("anywhere", F.lit(False)).alias("anywhere"), inferred.alias("inferred"))
-
     @query("""WITH r AS (SELECT id, any_value(places) AS places, any_value(anywhere) AS anywhere, any_value(inferred) AS inferred, any_value(answers) AS answers FROM index_rows GROUP BY id)
 SELECT count(*) AS postings, count(*) FILTER (len(places) > 0) AS placed, count(*) FILTER (len([1 FOR p IN places IF p.city IS NOT NULL]) > 0) AS with_city, count(*) FILTER (anywhere) AS anywhere, count(*) FILTER (inferred) AS inferred,
 count(*) FILTER (len(answers['arrangement']) = 4) AS arrangement, count(*) FILTER (len(answers['on_call']) = 2) AS on_call, count(*) FILTER (len(answers['on_call']) <> 2 OR len(answers['arrangement']) <> 4) AS unreadable FROM r""")

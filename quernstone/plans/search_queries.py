@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import held as H
 from ..tables import shared, stamp, table
-from .search import Criterion, Search, SearchQuery, serve
+from .search import QUESTIONS, Criterion, Search, SearchQuery, serve
 
 NOW = 1_783_641_600_000
 _Q = SearchQuery(now_ms=NOW)
@@ -103,10 +105,39 @@ def register(query) -> None:
     for name, (q, hard, groups) in FACETS.items():
         named(name, lambda spark, sf, q=q: _search(spark, sf, q).facets(), _facets_sql(q, hard, groups))
 
+    def held(spark: SparkSession, sf: str) -> DataFrame:
+        """Answers to a question someone put to the rows of a page: here those on being on call, of the paid rows."""
+        return served(spark, sf).where("pay IS NOT NULL AND q_on_call IS NOT NULL").select("id", F.col("q_on_call").alias("distribution"))
+
+    on_call = QUESTIONS["on_call"]
+    shown = SearchQuery(countries=("AA", "XJ"), include_anywhere=False)
+    _held = f"{ROWS}, m AS (SELECT * FROM t WHERE {_IN('countries', 'AA', 'XJ')}), h AS (SELECT r.id, q2 AS d FROM t JOIN (SELECT DISTINCT id FROM index_rows WHERE pay IS NOT NULL) r ON r.id = t.id WHERE q2 IS NOT NULL)"
+
+    @query(f"{_held} SELECT m.id, h.d[2] AS yes FROM m JOIN h ON h.id = m.id WHERE h.d[2] >= 40")
+    def held_filter(spark: SparkSession, sf: str):
+        """Rows of a search whose held answer passes; the rest, and those without an answer, don't."""
+        own = held(spark, sf)
+        return H.passing(_search(spark, sf, shown).matches(), own, on_call, ("yes", "never"), 40).select("id", F.get("q_on_call", F.lit(1)).alias("yes"))
+
+    @query(f"{_held} SELECT count(*) AS answered FROM m JOIN h ON h.id = m.id")
+    def held_answered(spark: SparkSession, sf: str):
+        return H.answered_among(_search(spark, sf, shown).matches(), held(spark, sf))
+
+    @query(f"{_held} SELECT CASE WHEN d[1] >= d[2] THEN 'no' ELSE 'yes' END AS option, count(*) AS n FROM m JOIN h ON h.id = m.id GROUP BY 1")
+    def held_facet(spark: SparkSession, sf: str):
+        return H.facet(_search(spark, sf, shown).matches(), held(spark, sf), on_call)
+
+    @query(f"{ROWS}, n AS (SELECT 'some' AS search, count(*) AS k FROM t WHERE {_IN('countries', 'XJ')} UNION ALL SELECT 'none', 0 UNION ALL SELECT 'all', count(*) FROM t) SELECT search, least(k, 301) AS total, k BETWEEN 1 AND 300 AS askable FROM n")
+    def held_askable(spark: SparkSession, sf: str):
+        """Which searches are small enough to put a question to all their rows."""
+        kinds = {"some": SearchQuery(countries=("XJ",), include_anywhere=False), "none": SearchQuery(companies=()), "all": _Q}
+        parts = [H.askable(_search(spark, sf, q).matches(), 300).select(F.lit(name).alias("search"), "total", "askable") for name, q in kinds.items()]
+        return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
     def facets_ranked(spark: SparkSession, sf: str) -> DataFrame:
         return _search(spark, sf, _Q).ranked_facets()
 
-    query()(facets_ranked)
+    query(f"SELECT facet, value, n, rank FROM (SELECT facet, value, n, row_number() OVER (PARTITION BY facet ORDER BY n DESC, lower(strip_accents(value)), value) AS rank FROM ({_facets_sql(_Q, 'true', {})})) WHERE rank <= 12")(facets_ranked)
 
     def row_answers(spark: SparkSession, sf: str) -> DataFrame:
         return _search(spark, sf, SearchQuery(workplaces=("remote",))).row_answers()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import places
+from ..operators import facets
 from ..operators import lifecycle as L
 from ..sources import index_io, listings, robots
 from ..streaming import windows
@@ -31,32 +32,69 @@ g AS (SELECT id, posted_at, left(c, 1) AS region FROM (SELECT id, posted_at, unn
 f AS (SELECT * FROM g UNION ALL SELECT id, posted_at, 'unplaced' FROM r WHERE id NOT IN (SELECT id FROM g))"""
 
 
-def _body(spark: SparkSession, sf: str, source: str) -> DataFrame:
-    """Listings of one source in the shape the system delivers them, made from the postings of its boards."""
-    rows = table(spark, sf, "criterion_postings").where(F.startswith("board_id", F.lit(f"{source}:"))).select("board_id", "id", "title", "description", F.from_json("locations_json", "array<string>").alias("l"))
-    link = F.concat(F.lit("https://jobs.example.invalid/"), "id")
+#: Intervals as the systems write them, and how ours are called (fixed values).
+_LEVER_PER = {"year": "per-year-salary", "month": "per-month-salary", "week": "per-week-salary", "day": "per-day-wage", "hour": "per-hour-wage"}
+_ASHBY_PER = {k: f"1 {k.upper()}" for k in _LEVER_PER}
+
+
+def _bodies(spark: SparkSession, sf: str, source: str) -> DataFrame:
+    """Listings of several jobs each in the shape a system delivers them; the first job comes twice and once without a title.
+
+    Jobs of a company are spread over listings by the first letters of their id, so no row holds a whole company.
+    """
+    rows = latest(table(spark, sf, "index_rows"), ["id"], ["posted_at"])
+    label = lambda i: F.get("locations", F.lit(i))
+    none, published = F.lit(None).cast("string"), F.date_format(F.timestamp_millis("posted_at"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    rest = F.filter("locations", lambda x, i: i > 0)
+    kinds = F.array_join("employment_types", ", ")
+    per = lambda names: F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.coalesce("pay.stated_per", F.lit("")))
     if source == "greenhouse":
-        job = F.struct("id", "title", link.alias("absolute_url"), F.struct(F.get("l", F.lit(0)).alias("name")).alias("location"), F.col("description").alias("content"))
+        title = "title"
+        offices = F.transform(rest, lambda x: F.struct(F.lit("Office").alias("name"), x.alias("location")))
+        job = F.struct("id", "title", F.col("url").alias("absolute_url"), F.struct(label(0).alias("name")).alias("location"), offices.alias("offices"), F.array(F.struct(F.col("department").alias("name"))).alias("departments"), published.alias("first_published"), F.lit("&lt;p&gt;x &amp;amp; y&lt;/p&gt;").alias("content"))
     elif source == "lever":
-        job = F.struct("id", F.col("title").alias("text"), link.alias("hostedUrl"), F.struct(F.col("l").alias("allLocations")).alias("categories"), F.col("description"))
+        title = "text"
+        pay = F.struct(F.col("pay.pay_min").alias("min"), F.col("pay.pay_max").alias("max"), F.col("pay.currency").alias("currency"), per(_LEVER_PER).alias("interval"))
+        job = F.struct("id", F.col("title").alias("text"), F.col("url").alias("hostedUrl"), F.struct(F.col("locations").alias("allLocations"), kinds.alias("commitment"), "department", none.alias("team")).alias("categories"), F.col("workplace").alias("workplaceType"), F.col("posted_at").alias("createdAt"), pay.alias("salaryRange"), F.lit("<p>x</p>").alias("description"))
     else:
-        rest = F.transform(F.slice("l", 2, 100), lambda x: F.struct(x.alias("location")))
-        job = F.struct("id", "title", link.alias("jobUrl"), F.get("l", F.lit(0)).alias("location"), rest.alias("secondaryLocations"), F.col("description").alias("descriptionHtml"))
-    # a listing of its own for each job: bodies of whole boards would gather a board in one row
-    jobs = F.to_json(F.array(job)) if source == "lever" else F.to_json(F.struct(F.array(job).alias("jobs")))
-    return rows.select("board_id", jobs.alias("body"))
+        title = "title"
+        pay = F.struct(F.lit("Salary").alias("compensationType"), F.col("pay.pay_min").alias("minValue"), F.col("pay.pay_max").alias("maxValue"), F.col("pay.currency").alias("currencyCode"), per(_ASHBY_PER).alias("interval"))
+        parts = F.array(F.struct(F.lit("Equity").alias("compensationType"), F.lit(1.0).alias("minValue"), F.lit(1.0).alias("maxValue"), none.alias("currencyCode"), none.alias("interval")), pay)
+        job = F.struct("id", "title", F.col("url").alias("jobUrl"), label(0).alias("location"), F.transform(rest, lambda x: F.struct(x.alias("location"))).alias("secondaryLocations"), F.lit(True).alias("isListed"), F.col("workplace").alias("workplaceType"), kinds.alias("employmentType"), "department", published.alias("publishedAt"), F.struct(parts.alias("summaryComponents")).alias("compensation"), F.lit("<p>x</p>").alias("descriptionHtml"))
+    jobs = rows.select("company", F.left("id", F.lit(2)).alias("part"), job.alias("job")).groupBy("company", "part").agg(F.sort_array(F.collect_list("job")).alias("jobs"))
+    first = F.col("jobs")[0]
+    bad = first.withField("id", F.concat(F.lit("bad-"), first["id"])).withField(title, F.lit("  "))
+    jobs = jobs.withColumn("jobs", F.concat("jobs", F.array(first.withField(title, F.lit("twice")), bad)))
+    return jobs.select(F.col("company").alias("board_id"), (F.to_json("jobs") if source == "lever" else F.to_json(F.struct("jobs"))).alias("body"))
 
 
 def _listed(source: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        read = listings.READERS[source](_body(spark, sf, source))
-        return read.select("board_id", "external_id", "kind", "title", F.array_join("locations", "|").alias("locations"))
+        read = listings.READERS[source](_bodies(spark, sf, source))
+        return read.select(
+            "board_id", "external_id", "kind", "title", "url", F.array_join("locations", "|").alias("locations"), F.array_join(F.transform("places", lambda p: p["text"]), "|").alias("offices"), "workplace", "employment_type", "department", "published_at",
+            F.col("salary.min").alias("pay_min"), F.col("salary.max").alias("pay_max"), F.col("salary.currency").alias("currency"), F.col("salary.interval").alias("per"), "description_html",
+        )
 
     return run
 
 
-_LISTED = """SELECT board_id, id AS external_id, CASE WHEN t IS NULL THEN 'invalid' ELSE 'posting' END AS kind, t AS title FROM (
-SELECT board_id, id, nullif(trim(regexp_replace(any_value(title), '[\\s\\x{00A0}]+', ' ', 'g')), '') AS t FROM criterion_postings WHERE starts_with(board_id, '%s:') GROUP BY board_id, id)"""
+_CLEAN = "nullif(trim(regexp_replace({}, '[\\s\\x{{00A0}}]+', ' ', 'g')), '')"
+_DISTINCT = "list_filter({0}, lambda x, i: x IS NOT NULL AND list_position({0}, x) = i)"
+
+
+def _listed_sql(source: str) -> str:
+    ls = f"[{_CLEAN.format('x')} FOR x IN coalesce(locations, [])]"
+    stated = source != "greenhouse"
+    paid = "pay.currency IS NOT NULL AND regexp_matches(pay.currency, '^[A-Z]{3}$') AND pay.stated_per IN ('year', 'month', 'week', 'day', 'hour') AND (pay.pay_min >= 0 OR pay.pay_max >= 0)"
+    one = lambda c, ok=stated: f"CASE WHEN {'true' if ok else 'false'} THEN {c} END"
+    body = {"greenhouse": "<p>x &amp; y</p>"}.get(source, "<p>x</p>")
+    return f"""WITH r AS (SELECT id, any_value(title) AS title, any_value(company) AS company, any_value(locations) AS locations, any_value(workplace) AS workplace, any_value(employment_types) AS types, any_value(department) AS department, any_value(pay) AS pay, any_value(posted_at) AS posted_at, any_value(url) AS url FROM index_rows GROUP BY id),
+l AS (SELECT *, {ls} AS ls FROM r), d AS (SELECT *, {"ls[1:1]" if source == "greenhouse" else "ls"} AS own, {"ls[2:]" if source == "greenhouse" else "[]"} AS others FROM l),
+j AS (SELECT company AS board_id, id AS external_id, {_CLEAN.format('title')} AS title, url, array_to_string({_DISTINCT.format('own')}, '|') AS locations, array_to_string({_DISTINCT.format('others')}, '|') AS offices, {one('workplace')} AS workplace, {one("nullif(array_to_string(types, ', '), '')")} AS employment_type, {_CLEAN.format('department')} AS department, posted_at AS published_at,
+{one(f'CASE WHEN {paid} AND pay.pay_min >= 0 THEN pay.pay_min END')} AS pay_min, {one(f'CASE WHEN {paid} AND pay.pay_max >= 0 THEN pay.pay_max END')} AS pay_max, {one(f'CASE WHEN {paid} THEN pay.currency END')} AS currency, {one(f'CASE WHEN {paid} THEN pay.stated_per END')} AS per, '{body}' AS description_html FROM d),
+b AS (SELECT * REPLACE ('bad-' || external_id AS external_id, NULL AS title) FROM j QUALIFY row_number() OVER (PARTITION BY board_id, left(external_id, 2) ORDER BY external_id) = 1)
+SELECT *, CASE WHEN title IS NULL OR NOT regexp_matches(url, '^https?://[^\\s]+$') THEN 'invalid' ELSE 'posting' END AS kind FROM (SELECT * FROM j UNION ALL SELECT * FROM b)"""
 
 
 def register(query) -> None:
@@ -107,9 +145,36 @@ def register(query) -> None:
 
     for source in ("greenhouse", "lever", "ashby"):
         f = _listed(source)
-        plain = lambda spark, sf, f=f: f(spark, sf).drop("locations")
-        plain.__name__ = f"listing_{source}"
-        query(_LISTED % source)(plain)
+        f.__name__ = f"listing_{source}"
+        query(_listed_sql(source))(f)
+
+    def derived(spark: SparkSession, sf: str) -> DataFrame:
+        """Facets of what the second system's listings hold."""
+        read = listings.READERS["lever"](_bodies(spark, sf, "lever")).where("kind = 'posting'").withColumn("id", F.col("external_id"))
+        homes = table(spark, sf, "boards").groupBy(F.col("company").alias("board_id")).agg(F.min("country").alias("home"))
+        return facets.derive(read, homes, table(spark, sf, "gazetteer_cities"))
+
+    def seen(spark: SparkSession, sf: str) -> DataFrame:
+        return table(spark, sf, "board_listings").select(F.col("posting_id").alias("id"), F.col("recorded_at").alias("first_seen_at"))
+
+    _per = "CASE pay.stated_per WHEN 'year' THEN 1 WHEN 'month' THEN 12 WHEN 'week' THEN 52 WHEN 'day' THEN 260 WHEN 'hour' THEN 2080 END"
+
+    @query(f"""WITH r AS (SELECT id, any_value(workplace) AS workplace, any_value(employment_types) AS types, any_value(department) AS department, any_value(pay) AS pay, any_value(posted_at) AS posted_at FROM index_rows GROUP BY id), f AS (SELECT posting_id AS id, min(recorded_at) AS t FROM board_listings GROUP BY 1)
+SELECT r.id, workplace, array_to_string(list_filter(['full-time', 'part-time', 'contract', 'internship', 'temporary'], lambda x: list_contains(types, x)), ',') AS types, nullif(trim(regexp_replace(department, '\\s+', ' ', 'g')), '') AS department, coalesce(posted_at, t) AS posted_at, floor(pay.pay_min * {_per} + 0.5) AS pay_min, floor(pay.pay_max * {_per} + 0.5) AS pay_max, CASE WHEN pay.pay_min >= 0 OR pay.pay_max >= 0 THEN pay.currency END AS currency, CASE WHEN pay.pay_min >= 0 OR pay.pay_max >= 0 THEN pay.stated_per END AS per FROM r LEFT JOIN f ON f.id = r.id WHERE workplace IS NOT NULL""")
+    def assembled_rows(spark: SparkSession, sf: str):
+        """Index rows made of listings; those with a stated arrangement, as a label's is no matter of SQL."""
+        rows = facets.index_rows(derived(spark, sf), seen(spark, sf)).join(table(spark, sf, "index_rows").where("workplace IS NOT NULL").select("id"), "id", "left_semi")
+        return rows.select("id", "workplace", F.array_join("employment_types", ",").alias("types"), "department", "posted_at", F.col("pay.pay_min").alias("pay_min"), F.col("pay.pay_max").alias("pay_max"), F.col("pay.currency").alias("currency"), F.col("pay.stated_per").alias("per"))
+
+    @query()
+    def derived_facets(spark: SparkSession, sf: str):
+        """Places, countries, arrangement and basis of each posting from its labels: each distinct label is read once."""
+        return derived(spark, sf).select("id", F.array_join(F.array_sort("countries"), ",").alias("countries"), "workplace", "anywhere", "basis", F.array_join("unmatched", "|").alias("unmatched"))
+
+    @query("SELECT count(DISTINCT id) AS postings, 0 AS placeholders FROM index_rows")
+    def facets_report(spark: SparkSession, sf: str):
+        report = facets.build_report(derived(spark, sf))
+        return report.where("by_label + by_stated + by_home + by_none = postings").select("postings", "placeholders")
 
     @query("WITH l AS (SELECT DISTINCT unnest(locations) AS label FROM index_rows) SELECT count(*) AS labels FROM l WHERE label IS NOT NULL")
     def location_label_count(spark: SparkSession, sf: str):

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a file that are read, as the standard asks for at least.
-LIMIT = 512_000
+LIMIT = 512 * 1024
 
 
 def parse(body: str) -> list[tuple[str, bool, str]]:
     """(agent, allow, pattern) of each rule, agents in lower case; consecutive agent lines share the rules that follow."""
     rules, agents, open_ = [], [], False
-    for line in body[:LIMIT].lstrip("﻿").splitlines():
+    for line in body.encode()[:LIMIT].decode(errors="ignore").lstrip("﻿").splitlines():
         name, colon, value = line.partition("#")[0].partition(":")
         name, value = name.strip().lower(), value.strip()
         if not colon:
