@@ -114,12 +114,30 @@ def chunks(block: Block, span: int = SPAN, reach: int = REACH) -> tuple[np.ndarr
 
 
 def common(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in ``a`` and in ``b`` at which a span of the other begins; ga and gb are their spans' digests."""
+    """Positions in ``a`` and in ``b`` at which a span of the other begins; ga and gb are their spans' digests.
+
+    Each run of positions that follow each other in both is compared as written, so a digest that two
+    different spans have costs that run alone: its positions are then compared one by one.
+    """
     ia, ib = np.flatnonzero(np.isin(ga, gb)), np.flatnonzero(np.isin(gb, ga))
-    if len(ia) and not any((a[i : i + span] == b[j : j + span]).all() for i in ia[:1] for j in np.flatnonzero(gb == ga[i])):
-        none = ia[:0]
-        return none, none
-    return ia, ib
+    if not len(ia):
+        return ia, ib
+    order = ib[np.argsort(gb[ib], kind="stable")]
+    partner = order[np.searchsorted(gb[order], ga[ia])]  # the first of b's positions with the same digest
+    new = np.append(True, (np.diff(ia) != 1) | (np.diff(partner) != 1))
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(ia))
+    sound = np.ones(len(ia), bool)
+    for lo, hi in zip(starts.tolist(), ends.tolist()):
+        n = hi - lo - 1 + span
+        if not np.array_equal(a[ia[lo] : ia[lo] + n], b[partner[lo] : partner[lo] + n]):
+            for k in range(lo, hi):
+                others = np.flatnonzero(gb == ga[ia[k]])
+                sound[k] = any(np.array_equal(a[ia[k] : ia[k] + span], b[j : j + span]) for j in others)
+    if sound.all():
+        return ia, ib
+    ia = ia[sound]
+    return ia, ib[np.isin(gb[ib], ga[ia])]
 
 
 def _grams(text: str, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,10 +153,18 @@ def _intervals(at: np.ndarray, span: int) -> list[tuple[int, int]]:
 
 #: Classes of texts whose ids may be broadcast (8 bytes each); with more, texts and ids meet in a shuffle.
 BROADCAST_CLASSES = 1_000_000
-#: Texts of one digest that a task pairs with the others; larger groups are salted.
+#: Texts that share a chunk and are compared by pairs; of more, spans are.  Larger groups of spans are salted in pieces of this size.
 GROUP = 500
 
 
+def _pairs_of(groups: DataFrame) -> DataFrame:
+    """h_a < h_b of each group (of, h, n); a large group is cut into pieces of one side."""
+    pieces = F.ceil(F.col("n") / GROUP).cast("int")
+    a = groups.select("of", F.col("h").alias("h_a"), F.pmod(F.xxhash64("h"), pieces).cast("int").alias("piece"))
+    b = groups.select("of", F.col("h").alias("h_b"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    return a.join(b, ["of", "piece"]).where("h_a < h_b").select("h_a", "h_b").distinct()
+
+
 class Shared:
     """The steps of the search, each a DataFrame; texts stand for themselves through a 64-bit hash ``h``.
 
@@ -182,12 +208,53 @@ class Shared:
         return found.where("lo < hi").select("digest", "h", "n")
 
     def candidates(self) -> DataFrame:
-        """h_a < h_b: texts with a chunk in common; a large group is cut into pieces of one side."""
+        """h_a < h_b: texts with a chunk in common, or with a span if more than GROUP texts have the chunk.
+
+        A chunk is shorter than a span, so many texts may share one and no span: of a chunk that more than
+        GROUP texts have, the spans around it are compared by digest instead of the texts by pairs.
+        """
         shared = cut(self.shared_chunks())
-        pieces = F.ceil(F.col("n") / GROUP).cast("int")
-        a = shared.select("digest", F.col("h").alias("h_a"), F.pmod(F.xxhash64("h"), pieces).cast("int").alias("piece"))
-        b = shared.select("digest", F.col("h").alias("h_b"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
-        return a.join(b, ["digest", "piece"]).where("h_a < h_b").select("h_a", "h_b").distinct()
+        few = _pairs_of(shared.where(F.col("n") <= GROUP).withColumnRenamed("digest", "of"))
+        many = shared.where(F.col("n") > GROUP)
+        if not many.limit(1).count():
+            return few
+        return few.unionAll(_pairs_of(self._same_spans(many.select("h", "digest")))).distinct()
+
+    def _same_spans(self, many: DataFrame) -> DataFrame:
+        """of, h, n: groups of texts with a span in common that holds one of the given chunks; each set of texts once."""
+        span, reach = self.span, self.reach
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                wanted = [np.array(w, np.int64) for w in batch.column(2).to_pylist()]
+                for at, _, block in blocks(batch.column(1)):
+                    of, start, length, digest = chunks(block, span, reach)
+                    keep = np.zeros(len(of), bool)
+                    first = np.searchsorted(of, np.arange(block.n + 1))  # chunks come text by text
+                    for i, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                        keep[lo:hi] = np.isin(digest[lo:hi], wanted[at + i])
+                    of, start, length = of[keep], start[keep], length[keep]
+                    first = np.maximum(start + length - span, block.first[of])  # spans that hold the chunk begin here
+                    n = np.maximum(np.minimum(start, block.first[of + 1] - span) - first + 1, 0)
+                    begin = np.unique(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+                    spans = np.unique(np.stack([block.text_of(begin), digests(block, begin, begin + span)]), axis=1) if len(begin) else np.zeros((2, 0), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(spans[1], pa.int64()), batch.column(0).take(pa.array(at + spans[0]))], names=["of", "h"])
+
+        own = many.groupBy("h").agg(F.collect_set("digest").alias("wanted"))  # as many as the text has chunks
+        texts = self.texts.select("h", "t").join(own, "h").groupBy("h").agg(F.first("t").alias("t"), F.first("wanted").alias("wanted"))
+        spans = cut(texts.mapInArrow(run, "of bigint, h bigint"))
+        # spans beside each other mostly stand in the same texts: one of each set of texts is enough
+        sets = spans.groupBy("of").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("x"), F.sum(F.shiftrightunsigned(F.xxhash64("h", F.lit(1)), 32)).alias("y")).where("n > 1")
+        one = sets.groupBy("n", "x", "y").agg(F.min("of").alias("of")).select("of", "n")
+        return spans.join(one, "of")
+
+    def classes(self) -> DataFrame:
+        """<key>, h: the class (equal text) of each row that takes part; with ``links`` all pairs in short."""
+        return self.texts.select(F.col("k").alias(self.key), "h").distinct()
+
+    def links(self) -> DataFrame:
+        """h_a < h_b: classes whose texts have a span in common; copies of one text need no pairs among them."""
+        return self.verified().select("h_a", "h_b").distinct()
 
     def verified(self) -> DataFrame:
         """h_a, h_b, of_a, start, end: the stretches of either text that lie in common spans."""
@@ -227,7 +294,7 @@ class Shared:
     def pairs(self) -> DataFrame:
         """<key>_a < <key>_b: rows whose texts have a span in common, equal texts among them."""
         members = self.texts.select("k", "h").distinct()
-        classes = self.verified().select("h_a", "h_b").distinct()
+        classes = self.links()
         a, b = members.select(F.col("k").alias("ka"), F.col("h").alias("h_a")), members.select(F.col("k").alias("kb"), F.col("h").alias("h_b"))
         unlike = classes.join(a, "h_a").join(b, "h_b").select(F.least("ka", "kb").alias("x"), F.greatest("ka", "kb").alias("y")).where("x < y")
         alike = a.join(b, F.expr("h_a = h_b AND ka < kb")).select("ka", "kb")

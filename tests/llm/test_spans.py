@@ -42,6 +42,34 @@ def test_every_insertion_is_survived(spark):
     assert found(spark, rows) == {(i, j) for i in range(40) for j in range(i + 1, 40)}
 
 
+@pytest.mark.parametrize("group", [1, 3, 500])
+def test_chunks_of_many_texts(spark, monkeypatch, group):
+    """A line that many texts have is shorter than a span: no pair of texts comes of it, and no true pair is lost."""
+    monkeypatch.setattr(spans, "GROUP", group)
+    r = random.Random(11)
+    line, passage = text(r, 300), text(r, 330)
+    rows = [(i, text(r, r.randint(0, 400)) + line + text(r, r.randint(0, 400))) for i in range(30)]
+    rows += [(30 + i, text(r, r.randint(0, 400)) + passage[i % 3 : 322 + i % 5] + line + text(r, r.randint(0, 400))) for i in range(12)] + [(50, line + "x" * 19), (51, line + "x" * 20), (52, line + "x" * 21), (53, line + "x" * 20)]
+    assert found(spark, rows) == brute(rows, 320)
+    shared = spans.Shared(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    of = {x.doc_id: x.h for x in shared.classes().collect()}
+    links = {tuple(x) for x in shared.links().collect()}
+    assert {(a, b) for a in of for b in of if a < b and (of[a] == of[b] or (min(of[a], of[b]), max(of[a], of[b])) in links)} == brute(rows, 320)
+
+
+def test_a_digest_of_two_spans_costs_no_other_run():
+    r = random.Random(12)
+    a = text(r, 400) + "-" * 5 + text(r, 400)
+    b = text(r, 50) + a[:400] + "=" * 7 + a[405:]
+    (ca, ga), (cb, gb) = (spans._grams(t, 320) for t in (a, b))
+    known = spans.common(ca, cb, ga, gb, 320)
+    ga, gb = ga.copy(), gb.copy()
+    ga[82], gb[20] = 7, 7  # two different spans of one digest
+    assert all((x == y).all() for x, y in zip(spans.common(ca, cb, ga, gb, 320), known))
+    ga[0] = 7  # and one in a run
+    assert len(spans.common(ca, cb, ga, gb, 320)[0]) == len(known[0]) - 1
+
+
 def test_nothing(spark):
     assert found(spark, []) == set() and found(spark, [(1, "a"), (2, None)]) == set()
 
