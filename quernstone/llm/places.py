@@ -9,15 +9,18 @@ the places already known of the row.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Reference entries that may be sent to every executor; the list is a gazetteer, not corpus data.
+from ..tables import cut
+
+#: Reference entries that may be sent to every executor at once; a longer list goes in blocks.
 MAX_REFERENCE = 200_000
 CACHE = 200_000
 ERRORS = 2
@@ -115,24 +118,36 @@ class Trie:
         return found
 
 
-class Reader:
-    """Reads labels against rows (city_id, city_name, country, country_name, division, division_name, population, alternates)."""
+def joined(name: str) -> str:
+    return fold(name).replace(" ", "")
 
-    def __init__(self, rows: list[tuple]):
-        self.cities = rows
-        join = lambda t: fold(t).replace(" ", "")
-        self.trie = Trie((join(name), i) for i, r in enumerate(rows) for name in [r[1], *(r[7] or [])] if name)
+
+class Areas:
+    """Countries and divisions by joined name or code."""
+
+    def __init__(self, rows: Iterable[tuple]):
+        """``rows``: (country, country_name, division, division_name)."""
         self.countries: dict[str, set[str]] = {}
         self.divisions: dict[str, set[tuple[str, str]]] = {}
         self.division_codes: set[str] = set()
-        for _, _, country, country_name, division, division_name, _, _ in rows:
+        for country, country_name, division, division_name in rows:
             for name in (country, country_name):
                 if name:
-                    self.countries.setdefault(join(name), set()).add(country)
+                    self.countries.setdefault(joined(name), set()).add(country)
             if division_name:
-                self.divisions.setdefault(join(division_name), set()).add((country, division))
+                self.divisions.setdefault(joined(division_name), set()).add((country, division))
             if division:
-                self.division_codes.add(join(division))
+                self.division_codes.add(joined(division))
+
+
+class Reader:
+    """Reads labels against rows (city_id, city_name, country, country_name, division, division_name, population, alternates)."""
+
+    def __init__(self, rows: list[tuple], areas: Areas | None = None):
+        self.cities = rows
+        self.trie = Trie((joined(name), i) for i, r in enumerate(rows) for name in [r[1], *(r[7] or [])] if name)
+        areas = areas or Areas(r[2:6] for r in rows)
+        self.countries, self.divisions, self.division_codes = areas.countries, areas.divisions, areas.division_codes
         self.cache: dict[str, list[list[int]]] = {}
 
     def read(self, label: str | None) -> list[list[int]]:
@@ -206,15 +221,89 @@ def read_labels(labels: DataFrame, gazetteer: DataFrame, places: DataFrame | Non
     the lower id.  Null and empty entries name none, null lists and null ids have no entries, rows delivered
     twice count once.  Other columns are not read.
     """
-    cols = ["city_id", "city_name", "country", "country_name", "division", "division_name", "population", "alternates", "canonical_label"]
-    rows = [tuple(r) for r in gazetteer.where("city_id IS NOT NULL").select(*cols).limit(MAX_REFERENCE + 1).collect()]
-    if len(rows) > MAX_REFERENCE:
-        raise ValueError(f"the reference list has more than {MAX_REFERENCE} entries")
-    shared = labels.sparkSession.sparkContext.broadcast(sorted(rows, key=lambda r: r[0]))
+    cities = gazetteer.where("city_id IS NOT NULL").select(*COLUMNS)
+    own = labels.select(F.col("id").cast("string").alias("id"), F.col("labels").cast("array<string>").alias("labels")).where("id IS NOT NULL AND size(labels) > 0")
+    if cities.count() <= MAX_REFERENCE:
+        return _settled(_read(own, [tuple(r) for r in cities.collect()], None), places)
+    # a longer list: every distinct label is first met with blocks of it, and read against the rows it came near
+    areas = [tuple(r) for r in cities.select("country", "country_name", "division", "division_name").distinct().collect()]  # as many as there are divisions
+    each = own.select("id", F.posexplode("labels").alias("loc_pos", "label")).withColumn("label", F.coalesce("label", F.lit("")))
+    distinct = cut(each.select("label").distinct())
+    near = cut(_near(distinct, cities))
+    blocks = max(1, -(-near.count() // MAX_REFERENCE))
+    at = F.pmod(F.xxhash64("label"), blocks)
+    parts = []
+    for b in range(blocks):
+        rows = cities.join(near.where(at == b).select("city_id").distinct(), "city_id").select(*COLUMNS)
+        parts.append(_read(distinct.where(at == b).select(F.col("label").alias("id"), F.array("label").alias("labels")), [tuple(r) for r in rows.collect()], areas))
+    read = functools.reduce(DataFrame.unionAll, parts).select(F.col("id").alias("label"), "n", "cities", "countries")
+    return _settled(each.join(read, "label").select("id", "loc_pos", "n", "cities", "countries"), places)
+
+
+COLUMNS = ["city_id", "city_name", "country", "country_name", "division", "division_name", "population", "alternates", "canonical_label"]
+
+
+def _tried(label: str | None, areas: Areas) -> set[str]:
+    """All names a label may be tried as, whatever the reference list holds."""
+    out: set[str] = set()
+    for part in _SEPARATORS.split(unicodedata.normalize("NFKC", label or "")):
+        words = fold(part).split()
+        while words and (words[0] in NOISE or words[0].isdigit()):
+            words.pop(0)
+        while words and (words[-1] in NOISE or words[-1].isdigit()):
+            words.pop()
+        while words:
+            out |= {"".join(words), "".join(words[:-1]), "".join(words[1:]), words[0], words[-1]}
+            if not (len(words) > 1 and "-" in part and (words[0] in areas.countries or words[0] in areas.division_codes)):
+                break
+            words.pop(0)
+    return out - {""}
+
+
+def _near(labels: DataFrame, cities: DataFrame) -> DataFrame:
+    """label, city_id: the reference rows that bear one of the closest names to what the label is tried as, and exact canonical labels."""
+    spark = labels.sparkSession
+    areas = Areas(tuple(r) for r in cities.select("country", "country_name", "division", "division_name").distinct().collect())
+    shared_areas = spark.sparkContext.broadcast(areas)
+
+    def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(label, t) for label in batch.column(0).to_pylist() for t in _tried(label, shared_areas.value)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], names=["label", "typed"])
+
+    typed = cut(labels.where("label IS NOT NULL").mapInArrow(tries, "label string, typed string").distinct())
+    names = typed.select("typed").distinct()
+    blocks = -(-cities.count() // MAX_REFERENCE)
+    found = None
+    for block in range(blocks):
+        rows = cities.where(F.pmod(F.xxhash64("city_id"), blocks) == block).select("city_id", "city_name", "alternates")
+        shared = spark.sparkContext.broadcast([tuple(r) for r in rows.collect()])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            trie = Trie((joined(name), city) for city, name_, others in shared.value for name in [name_, *(others or [])] if name)
+            for batch in batches:
+                out: list[tuple[str, int, int]] = []
+                for t in batch.column(0).to_pylist():
+                    near = {t: 0} if t in trie.exact else trie.within(t) if len(t) >= 5 - ERRORS else {}
+                    least = min(near.values(), default=0)
+                    out += [(t, least, city) for name, d in near.items() if d == least for city in trie.exact[name]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["typed", "errors", "city_id"])
+
+        part = names.mapInArrow(run, "typed string, errors int, city_id bigint")
+        found = part if found is None else found.unionAll(part)
+    found = cut(found)
+    least = found.groupBy("typed").agg(F.min("errors").alias("errors"))
+    near = found.join(least, ["typed", "errors"]).select("typed", "city_id")
+    exact = labels.join(cities.select(F.col("canonical_label").alias("label"), "city_id"), "label")
+    return typed.join(near, "typed").select("label", "city_id").unionAll(exact.select("label", "city_id")).distinct()
+
+
+def _read(labels: DataFrame, reference: list[tuple], areas: list[tuple] | None) -> DataFrame:
+    shared = labels.sparkSession.sparkContext.broadcast((sorted(reference, key=lambda r: r[0]), areas))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = shared.value
-        reader, canonical = Reader([r[:8] for r in rows]), {r[8] for r in rows}
+        rows, areas = shared.value
+        reader, canonical = Reader([r[:8] for r in rows], Areas(areas) if areas is not None else None), {r[8] for r in rows}
         order = sorted(range(len(rows)), key=lambda i: (-(rows[i][6] or 0), rows[i][0]))
         rank = {i: n for n, i in enumerate(order)}
         for batch in batches:
@@ -230,8 +319,11 @@ def read_labels(labels: DataFrame, gazetteer: DataFrame, places: DataFrame | Non
                             col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string())))], names=["id", "loc_pos", "n", "cities", "countries"])
 
-    read = labels.select(F.col("id").cast("string").alias("id"), F.col("labels").cast("array<string>").alias("labels")).where("id IS NOT NULL AND size(labels) > 0")
-    read = read.mapInArrow(run, "id string, loc_pos int, n int, cities array<bigint>, countries array<string>")
+    return labels.mapInArrow(run, "id string, loc_pos int, n int, cities array<bigint>, countries array<string>")
+
+
+def _settled(read: DataFrame, places: DataFrame | None) -> DataFrame:
+    """One city of those that a label names alike: in a country known of the row, or the most populous."""
     first = F.col("cities")[0]
     if places is None:
         return read.select("id", "loc_pos", first.alias("city_id")).distinct()

@@ -29,6 +29,20 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return places.read_labels(postings, table(spark, sf, "gazetteer_cities"), known)
 
 
+def p2_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The labels of index_rows, read as those of the postings."""
+    rows = table(spark, sf, "index_rows")
+    known = rows.select("id", F.explode("places.country").alias("country"))
+    return places.read_labels(rows.select("id", F.col("locations").alias("labels")), table(spark, sf, "gazetteer_cities"), known)
+
+
+def p2_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """label, postings: what names no city, by how many postings of the index have it."""
+    labels = table(spark, sf, "index_rows").select("id", F.posexplode("locations").alias("loc_pos", "label"))
+    none = p2_index(spark, sf).where("city_id = 0").select("id", "loc_pos")
+    return labels.join(none, ["id", "loc_pos"], "left_semi").groupBy("label").agg(F.count_distinct("id").alias("postings"))
+
+
 def p3_by_run(spark: SparkSession, sf: str) -> DataFrame:
     return percentiles.by(table(spark, sf, "freshness_samples"), ["run_id"])
 
@@ -87,7 +101,7 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
     return spans.Shared(table(spark, sf, "documents")).report()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_parts, p2_found, p3_by_run, p3_by_source, p3_overall, p3_windows, p4_found, p4_clean_text, p6_found, p6_groups, p7_ids, p8_found, p8_overlaps, p9_found, p9_shared)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_parts, p2_found, p2_index, p2_unmatched, p3_by_run, p3_by_source, p3_overall, p3_windows, p4_found, p4_clean_text, p6_found, p6_groups, p7_ids, p8_found, p8_overlaps, p9_found, p9_shared)}
 
 _WORDS = "list_transform(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
 

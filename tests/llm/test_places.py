@@ -52,6 +52,15 @@ def test_known_places_decide_what_the_label_does_not(spark):
     assert read(spark, labels, [("a", "BB"), ("a", "BB"), ("b", "ZZ"), ("b", None)]) == {("a", 0, 3), ("a", 1, 2), ("b", 0, 2)}
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_a_longer_reference_list_goes_in_blocks(spark, monkeypatch, most):
+    labels = ["nova arlon", "Noav Arlon (Hybrid)", "Borland, Bexleyvile", "BB-C1-Bexleyville", "Nova Arlon & Bexleyville", "ARX", "", None, "Nova Arlon, North, Aland", "Aland", "Bexleyville", "Nandx", "Bexleyville, Coast"]
+    rows, known = [("a", labels), ("b", labels[::-1]), ("b", labels[::-1]), (None, labels), ("c", None)], [("a", "BB")]
+    whole = read(spark, rows, known)
+    monkeypatch.setattr(places, "MAX_REFERENCE", most)
+    assert read(spark, rows, known) == whole and len(whole) > 24
+
+
 def test_nothing(spark):
     assert read(spark, []) == set()
 
