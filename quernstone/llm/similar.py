@@ -11,6 +11,7 @@ the same third one, the second count is derived from the first by the shingles t
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,11 @@ from .leaks import words
 
 #: Defaults for near-duplicates; the query of the problem states its own.
 SHINGLE, THRESHOLD, LEAST_WORDS = 5, 0.8, 0
-#: Counters of the sketch by which shingles are ordered.  Collisions cost time, never a result.
-SKETCH = 1 << 20
+#: Counters of the sketch by which shingles are ordered, and marks that tell shingles of one row alone from
+#: others.  Both have a fixed size, whatever the input; collisions cost time, never a result.
+SKETCH, MARKS = 1 << 20, 1 << 26
+#: Pieces in which sketches travel.
+SEGMENTS = 256
 #: Entries of an index block.
 BLOCK = 128
 #: Class ids that may be broadcast (8 bytes each).
@@ -56,8 +60,64 @@ def shingle_sets(texts: pa.Array, size: int, least_words: int) -> Iterator[tuple
                 yield at + i, own, xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
-def _bucket(shingles: np.ndarray) -> np.ndarray:
-    return (shingles.view(np.uint64) & np.uint64(SKETCH - 1)).astype(np.int64)
+class Sketch:
+    """In how many rows shingles stand, by ``SKETCH`` counters, and by ``MARKS`` marks whether in more than one.
+
+    With ``parts`` it is one of so many segments of the whole.
+    """
+
+    def __init__(self, parts: int = 1):
+        self.counts, self.seen = np.zeros(SKETCH // parts, np.int32), np.zeros(MARKS // parts, np.uint8)
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        """Counts each of the sets' shingles once a set."""
+        if not sets:
+            return
+        flat = np.concatenate(sets).view(np.uint64)
+        bucket, n = np.unique((flat & np.uint64(SKETCH - 1)).astype(np.int64), return_counts=True)
+        self.counts[bucket] = np.minimum(self.counts[bucket] + n, _MOST)
+        mark, n = np.unique((flat & np.uint64(MARKS - 1)).astype(np.int64), return_counts=True)
+        self.seen[mark] = np.minimum(self.seen[mark] + n, 2)
+
+    def of(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The count of each shingle, and whether it stands in no other row."""
+        flat = own.view(np.uint64)
+        return self.counts[(flat & np.uint64(SKETCH - 1)).astype(np.int64)], self.seen[(flat & np.uint64(MARKS - 1)).astype(np.int64)] < 2
+
+    def packed(self) -> bytes:
+        return zlib.compress(self.counts.tobytes() + np.packbits(self.seen >= 1).tobytes() + np.packbits(self.seen >= 2).tobytes(), 1)
+
+    @classmethod
+    def read(cls, payload: bytes, parts: int = 1) -> Sketch:
+        out = cls(parts)
+        flat = np.frombuffer(zlib.decompress(payload), np.uint8)
+        c, m = 4 * len(out.counts), len(out.seen) // 8
+        out.counts[:] = flat[:c].view(np.int32)
+        out.seen[:] = np.unpackbits(flat[c : c + m]) + np.unpackbits(flat[c + m :])
+        return out
+
+    def parts(self) -> Iterator[tuple[int, bytes]]:
+        """The segments that hold anything."""
+        c, m = SKETCH // SEGMENTS, MARKS // SEGMENTS
+        for i in range(SEGMENTS):
+            part = Sketch(SEGMENTS)
+            part.counts, part.seen = self.counts[i * c : (i + 1) * c], self.seen[i * m : (i + 1) * m]
+            if part.counts.any() or part.seen.any():
+                yield i, part.packed()
+
+    def join(self, payload: bytes) -> None:
+        other = Sketch.read(payload, SEGMENTS)
+        self.counts = np.minimum(self.counts.astype(np.int64) + other.counts, _MOST).astype(np.int32)
+        self.seen = np.minimum(self.seen + other.seen, 2)
+
+    def put(self, segment: int, payload: bytes) -> None:
+        other = Sketch.read(payload, SEGMENTS)
+        c, m = len(other.counts), len(other.seen)
+        self.counts[segment * c : (segment + 1) * c] = other.counts
+        self.seen[segment * m : (segment + 1) * m] = other.seen
+
+
+_MOST = 2**31 - 1
 
 
 def parities(own: np.ndarray, longs: int = 4) -> np.ndarray:
@@ -84,48 +144,62 @@ class Similar:
         self.keys = df.select(F.col(f"`{key}`").cast("string").alias("k")).where("k IS NOT NULL")
         self.rows = df.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
         self._classes: DataFrame | None = None
+        self._pass: DataFrame | None = None
 
-    def classes(self) -> DataFrame:
-        """k, h, n, c0..c7 of each text that takes part: the set's hash, size and 512 parities."""
-        if self._classes is None:
+    def _profile(self) -> DataFrame:
+        """One pass over the texts: k, h, n, c0..c7 of each that takes part, and segment, payload of each task's sketch."""
+        if self._pass is None:
             size, least = self.size, self.least_words
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                sketch = Sketch()
                 for batch in batches:
-                    found = [(i, h, len(own), parities(own, 8)) for i, own, h in shingle_sets(batch.column(1), size, least)]
-                    i, h, n, bits = zip(*found) if found else ((), (), (), ())
+                    found = [(i, h, own) for i, own, h in shingle_sets(batch.column(1), size, least)]
+                    sketch.add([own for _, _, own in found])
+                    bits = [parities(own, 8) for _, _, own in found]
                     c = np.stack(bits) if bits else np.zeros((0, 8), np.int64)
-                    cols = [batch.column(0).take(pa.array(i, pa.int64())), pa.array(h, pa.int64()), pa.array(n, pa.int32())]
-                    yield pa.RecordBatch.from_arrays(cols + [pa.array(c[:, j].copy()) for j in range(8)], names=["k", "h", "n", *_BITS])
+                    i, m = pa.array([i for i, _, _ in found], pa.int64()), len(found)
+                    cols = [batch.column(0).take(i), pa.array([h for _, h, _ in found], pa.int64()), pa.array([len(own) for _, _, own in found], pa.int32()), *(pa.array(c[:, j].copy()) for j in range(8))]
+                    yield pa.RecordBatch.from_arrays(cols + [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+                parts = list(sketch.parts())
+                m = len(parts)
+                none = [pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *(pa.nulls(m, pa.int64()) for _ in range(8))]
+                yield pa.RecordBatch.from_arrays(none + [pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=names)
+
+            names = ["k", "h", "n", *_BITS, "segment", "payload"]
+            schema = "k string, h bigint, n int, " + ", ".join(f"{c} bigint" for c in _BITS) + ", segment int, payload binary"
+            self._pass = cut(self.rows.mapInArrow(run, schema))
+        return self._pass
 
-            schema = "k string, h bigint, n int, " + ", ".join(f"{c} bigint" for c in _BITS)
-            self._classes = cut(self.rows.mapInArrow(run, schema).dropDuplicates(["k", "h"]))
+    def classes(self) -> DataFrame:
+        """k, h, n, c0..c7 of each text that takes part: the set's hash, size and 512 parities."""
+        if self._classes is None:
+            self._classes = cut(self._profile().where("segment IS NULL").drop("segment", "payload").dropDuplicates(["k", "h"]))
         return self._classes
 
-    def sketch(self) -> np.ndarray:
-        """Rows in which shingles of each bucket stand, over all rows: SKETCH counters, whatever the input."""
-        size, least = self.size, self.least_words
+    def sketch(self) -> Sketch:
+        """The sketch of all rows; segments are put together as they come, none of their parts is kept."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts = np.zeros(SKETCH, np.int64)
+            whole: dict[int, Sketch] = {}
             for batch in batches:
-                for _, own, _ in shingle_sets(batch.column(0), size, least):
-                    np.add.at(counts, _bucket(own), 1)
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["bucket", "n"])
+                for segment, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    whole.setdefault(segment, Sketch(SEGMENTS)).join(payload)
+            yield pa.RecordBatch.from_arrays([pa.array(list(whole), pa.int32()), pa.array([w.packed() for w in whole.values()], pa.binary())], names=["segment", "payload"])
 
-        found = self.rows.select("t").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-        out = np.zeros(SKETCH, np.int64)
-        out[found["bucket"].to_numpy()] = found["n"].to_numpy()
-        return np.minimum(out, 2**31 - 1).astype(np.int32)
+        parts = self._profile().where("segment IS NOT NULL").select("segment", "payload").repartition("segment")
+        out = Sketch()
+        for segment, payload in zip(*(c.to_pylist() for c in parts.mapInArrow(run, "segment int, payload binary").toArrow().columns)):
+            out.put(segment, payload)
+        return out
 
     def index(self) -> DataFrame:
         """token, h, n, pos, b0..b3: the prefix of each set in the global order, once a set and task, with its parities."""
         size, least, threshold = self.size, self.least_words, self.threshold
-        counts = self.rows.sparkSession.sparkContext.broadcast(self.sketch())
+        counts = self.rows.sparkSession.sparkContext.broadcast(self.sketch().packed())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            order, done = counts.value, set()
+            sketch, done = Sketch.read(counts.value), set()
             for batch in batches:
                 tokens, hs, ns, places, bits = [], [], [], [], []
                 for _, own, h in shingle_sets(batch.column(0), size, least):
@@ -133,9 +207,9 @@ class Similar:
                         continue
                     done.add(h)
                     n = len(own)
-                    of = order[_bucket(own)]
+                    of, alone = sketch.of(own)
                     ranked = np.lexsort((own, of))[: n - math.ceil(threshold * n - 1e-9) + 1]
-                    pos = np.flatnonzero(of[ranked] > 1)  # a count of 1: no other text has it
+                    pos = np.flatnonzero(~alone[ranked])  # what stands in one row alone leads nowhere
                     tokens.append(own[ranked[pos]]), places.append(pos), hs.append(np.full(len(pos), h)), ns.append(np.full(len(pos), n)), bits.append(np.tile(parities(own), (len(pos), 1)))
                 cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tokens, hs, ns, places)]
                 b = np.concatenate(bits) if bits else np.zeros((0, 4), np.int64)
