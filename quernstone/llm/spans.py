@@ -113,17 +113,28 @@ def chunks(block: Block, span: int = SPAN, reach: int = REACH) -> tuple[np.ndarr
     return of, at, end - at, digests(block, at, end)
 
 
-def common(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+def _ordered(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(grams, kind="stable")
+    return order, grams[order]
+
+
+def common(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, span: int, ordered: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions in ``a`` and in ``b`` at which a span of the other begins; ga and gb are their spans' digests.
 
     Each run of positions that follow each other in both is compared as written, so a digest that two
     different spans have costs that run alone: its positions are then compared one by one.
     """
-    ia, ib = np.flatnonzero(np.isin(ga, gb)), np.flatnonzero(np.isin(gb, ga))
+    order, held = ordered or _ordered(gb)
+    at = np.searchsorted(held, ga)
+    hit = held[np.minimum(at, len(held) - 1)] == ga
+    ia = np.flatnonzero(hit)
     if not len(ia):
-        return ia, ib
-    order = ib[np.argsort(gb[ib], kind="stable")]
-    partner = order[np.searchsorted(gb[order], ga[ia])]  # the first of b's positions with the same digest
+        return ia, ia
+    partner = order[at[hit]]  # the first of b's positions with the same digest
+    marks = np.zeros(len(held) + 1, np.int64)
+    np.add.at(marks, at[hit], 1)
+    np.add.at(marks, np.searchsorted(held, ga[ia], side="right"), -1)
+    ib = np.sort(order[np.cumsum(marks[:-1]) > 0])
     new = np.append(True, (np.diff(ia) != 1) | (np.diff(partner) != 1))
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(ia))
@@ -273,7 +284,7 @@ class Shared:
         both = pairs.join(one.select(F.col("h").alias("h_a"), F.col("t").alias("a")), "h_a").join(one.select(F.col("h").alias("h_b"), F.col("t").alias("b")), "h_b")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            kept: dict[int, tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]] = {}
             for batch in batches:
                 rows = []
                 for ha, hb, a, b in zip(*(c.to_pylist() for c in batch.columns)):
@@ -281,9 +292,10 @@ class Shared:
                         kept.clear()
                     for h, t in ((ha, a), (hb, b)):
                         if h not in kept:
-                            kept[h] = _grams(t, span)
-                    (ca, ga), (cb, gb) = kept[ha], kept[hb]
-                    ia, ib = common(ca, cb, ga, gb, span)
+                            cps, grams = _grams(t, span)
+                            kept[h] = cps, grams, _ordered(grams)
+                    (ca, ga, _), (cb, gb, ordered) = kept[ha], kept[hb]
+                    ia, ib = common(ca, cb, ga, gb, span, ordered)
                     if len(ia):
                         rows += [(ha, hb, of_a, *x) for of_a, at in ((True, ia), (False, ib)) for x in _intervals(at, span)]
                 cols = list(zip(*rows)) or [[]] * 5
