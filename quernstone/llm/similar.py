@@ -229,17 +229,17 @@ class Similar:
         need = lambda na, nb: F.ceil(F.lit(t / (1 + t)) * (na + nb) - 1e-9)
         a, b = (lists.where("blocks > 1").select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "n0", "n1", "p0", "list")]) for side in "ab")
         pairs = a.join(b, "token").where((F.col("block_a") < F.col("block_b")) & (F.col("n0_b") * t <= F.col("n1_a") + 1e-9) & (F.least(F.col("n1_a") - F.col("p0_a"), F.col("n1_b") - F.col("p0_b")) >= need(F.col("n0_a"), F.col("n0_b"))))
-        # the pairs within a block need no join, and nearly all lists are one block
-        within = lists.where("size(list) > 1").select(F.col("list").alias("list_a"), F.col("list").alias("list_b"))
-        pairs = pairs.select("list_a", "list_b").unionAll(within)
         names = ["h", "n", "p", "0", "1", "2", "3"]
-        one = [f"{x}a" for x in names]
-        each = pairs.select("list_b", F.inline("list_a").alias(*one)).select(*one, F.inline("list_b").alias(*(f"{x}b" for x in names)))
+        one, two = [f"{x}a" for x in names], [f"{x}b" for x in names]
+        across = pairs.select("list_b", F.inline("list_a").alias(*one)).select(*one, F.inline("list_b").alias(*two))
+        # the pairs within a block need no join, and nearly all lists are one block: each entry with those behind it
+        behind = F.slice("list", F.col("i") + 2, F.greatest(F.size("list") - F.col("i") - 1, F.lit(0)))
+        within = lists.where("size(list) > 1").select("list", F.posexplode("list").alias("i", "e")).select("e.*", behind.alias("rest")).toDF(*one, "rest")
+        each = across.unionAll(within.select(*one, F.inline("rest").alias(*two)))
         differ = sum((F.bit_count(F.col(f"{i}a").bitwiseXOR(F.col(f"{i}b"))) for i in range(4)), F.lit(0))
         fits = (F.col("na") >= F.col("nb") * t - 1e-9) & (F.col("nb") >= F.col("na") * t - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need(F.col("na"), F.col("nb")))
         fits &= differ <= F.col("na") + F.col("nb") - 2 * need(F.col("na"), F.col("nb"))
-        # within a block each pair comes in both orders: one is enough
-        each = each.where(F.struct("na", "pa", "ha") < F.struct(F.col("nb").alias("na"), F.col("pb").alias("pa"), F.col("hb").alias("ha"))).where((F.col("ha") != F.col("hb")) & fits)
+        each = each.where((F.col("ha") != F.col("hb")) & fits)
         found = each.select(F.least("ha", "hb").alias("h_a"), F.greatest("ha", "hb").alias("h_b")).distinct()
         # more parities, kept a class and not an index entry, before any set is fetched
         one = self.classes().drop("k").dropDuplicates(["h"])
