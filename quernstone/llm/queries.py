@@ -80,6 +80,15 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _reposts(spark, sf).groups()
 
 
+def p6_links(spark: SparkSession, sf: str) -> DataFrame:
+    """class_a < class_b and their similarity: the links between different texts; ``p6_members`` has who is in a class."""
+    return _reposts(spark, sf).links().select(F.col("h_a").alias("class_a"), F.col("h_b").alias("class_b"), F.round("similarity", 9).alias("similarity"))
+
+
+def p6_members(spark: SparkSession, sf: str) -> DataFrame:
+    return _reposts(spark, sf).classes().select(F.col("k").alias("id"), F.col("h").alias("class"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(table(spark, sf, "documents"))
 
@@ -97,11 +106,20 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return spans.Shared(table(spark, sf, "documents")).pairs()
 
 
+def p9_links(spark: SparkSession, sf: str) -> DataFrame:
+    """class_a < class_b: the links between different texts; ``p9_members`` has which documents are copies of one."""
+    return spans.Shared(table(spark, sf, "documents")).links().select(F.col("h_a").alias("class_a"), F.col("h_b").alias("class_b"))
+
+
+def p9_members(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.Shared(table(spark, sf, "documents")).classes().withColumnRenamed("h", "class")
+
+
 def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
     return spans.Shared(table(spark, sf, "documents")).report()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_parts, p2_found, p2_index, p2_unmatched, p3_by_run, p3_by_source, p3_overall, p3_windows, p4_found, p4_clean_text, p6_found, p6_groups, p7_ids, p8_found, p8_overlaps, p9_found, p9_shared)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_parts, p2_found, p2_index, p2_unmatched, p3_by_run, p3_by_source, p3_overall, p3_windows, p4_found, p4_clean_text, p6_found, p6_groups, p6_links, p6_members, p7_ids, p8_found, p8_overlaps, p9_found, p9_links, p9_members, p9_shared)}
 
 _WORDS = "list_transform(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
 
