@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import likeliest, pay_reach, probability_of
 from ..functions.text import fold, fold_text
+from ..operators.asking import criterion
 from ..tables import cut, exists, latest
 
 WORKPLACES = ("onsite", "hybrid", "remote")
@@ -57,6 +58,10 @@ class SearchQuery:
     now_ms: int = 0
     region: str = ""
 
+    #: A question someone wrote (kind, wording, choices), and which of its options a row must have with what share.
+    asked: tuple[str, str, tuple[str, ...]] | None = None
+    asked_filter: Criterion | None = None
+
     def __post_init__(self) -> None:
         for given, known in ((self.workplaces, WORKPLACES), (self.employment, EMPLOYMENT)):
             if unknown := set(given or ()) - set(known):
@@ -95,6 +100,7 @@ class SearchQuery:
             countries=tuple(dict.fromkeys(c.upper() for c in several("country"))) or None,
             workplaces=known("workplace", WORKPLACES), employment=known("type", EMPLOYMENT), companies=several("company") or None,
             within_days=int(days) if days.isdigit() and int(days) in WITHIN_DAYS else None, minimum_pay=pay, include_anywhere=given.get("anywhere") != "0",
+            asked=(asked := _asked(given)), asked_filter=_asked_filter(given.get("cf", "")) if asked else None,
             text=given.get("q", "").strip(), answers=_criteria(given.get("a", "")), sort_pay=(pay[1] if pay else "USD") if given.get("sort") == "pay" else None, region=given.get("region", ""), now_ms=now_ms,
         )
 
@@ -106,10 +112,31 @@ class SearchQuery:
             "within": str(self.within_days or ""), "pay": amount, "currency": self.minimum_pay[1] if self.minimum_pay else "", "anywhere": "" if self.include_anywhere else "0", "sort": "pay" if self.sort_pay else "",
             "a": ",".join(f"{c.question}:{'|'.join(c.options)}" + (f"@{c.at_least}" if c.at_least != THRESHOLD else "") for c in self.answers),
         }
+        if self.asked:
+            parts |= {"ck": self.asked[0], "cq": self.asked[1], "cc": "|".join(self.asked[2])}
+            if f := self.asked_filter:
+                parts["cf"] = "|".join(f.options) + (f"@{f.at_least}" if f.at_least != THRESHOLD else "")
         text = "&".join(f"{k}={quote(v, safe='')}" for k, v in parts.items() if v)
         return f"?{text}" if text else ""
 
 
+def _asked(given: dict[str, str]) -> tuple[str, str, tuple[str, ...]] | None:
+    """The question in a URL, if it is one that could be put."""
+    choices = tuple(c.strip() for c in given.get("cc", "").split("|") if c.strip())
+    try:
+        q = criterion(given.get("ck", ""), given.get("cq", ""), choices)
+    except ValueError:
+        return None
+    return q.kind, q.text, choices
+
+
+def _asked_filter(text: str) -> Criterion | None:
+    joined, at, share = text.strip().partition("@")
+    options = tuple(dict.fromkeys(o for o in joined.split("|") if o))
+    at_least = int(share) if share.isdigit() else THRESHOLD
+    return Criterion("asked", options, at_least) if options and (not at or share.isdigit()) and 1 <= at_least <= 100 else None
+
+
 def _criteria(text: str) -> tuple[Criterion, ...]:
     """``question:option|option@share`` parts separated by commas; the first of a question counts."""
     found: dict[str, Criterion] = {}

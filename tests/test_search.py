@@ -2,7 +2,7 @@ from dataclasses import replace
 
 import pytest
 
-from quernstone.plans.search import DAY_MS, Criterion, Search, SearchQuery, index_table
+from quernstone.plans.search import DAY_MS, Criterion, Search, SearchQuery, index_table, serve
 
 SCHEMA = "id string, title string, company string, places array<struct<country:string,division:string,city:bigint>>, anywhere boolean, workplace string, employment_types array<string>, pay struct<pay_min:double,pay_max:double,currency:string,stated_per:string>, posted_at bigint, answers map<string,array<int>>"
 DE = ("DE", "16", 2950159)
@@ -104,3 +104,19 @@ def test_unknown_values_are_refused():
         SearchQuery(workplaces=("moon",))
     with pytest.raises(ValueError):
         SearchQuery(answers=(Criterion("on_call", ("no",)), Criterion("on_call", ("yes",))))
+
+
+def test_a_written_question_in_the_url():
+    url = "?ck=choice&cq=Is%20it%20%3Fa%20%26%20b&cc=x%7Cy&cf=x%4070"
+    q = SearchQuery.from_url(url)
+    assert q.asked == ("choice", "Is it ?a & b", ("x", "y")) and q.asked_filter == Criterion("asked", ("x",), 70) and q.to_url() == url
+    assert SearchQuery.from_url("?ck=other&cq=x&cf=a").asked is None and SearchQuery.from_url("?ck=yes-no&cq=x&cf=@7").asked_filter is None
+    assert SearchQuery.from_url("?cf=yes").asked_filter is None
+
+
+def test_a_search_shuffles_nothing_and_pushes_its_filters(spark, tmp_path):
+    own = serve(spark.createDataFrame([row("a"), row("b")], SCHEMA), str(tmp_path / "index"))
+    q = SearchQuery(within_days=5, minimum_pay=(1.0, "EUR"), text="x", companies=("c",), now_ms=DAY_MS * 30)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = Search(own, q).page()._jdf.queryExecution().explainString(mode)
+    assert "Exchange" not in plan and all(f"{f}" in plan for f in ("GreaterThanOrEqual(posted_day", "EqualTo(currency,EUR)", "StringContains(search_text,x)", "EqualTo(company,c)"))
