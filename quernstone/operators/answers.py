@@ -179,5 +179,12 @@ def grants(requests: DataFrame, key: str, order: str, wanted: str, cap: int) ->
     return requests.withColumn("granted", F.greatest(F.lit(0), F.least(F.col(wanted), F.lit(cap) - before)))
 
 
+def settled(granted: DataFrame, key: str, used: str) -> DataFrame:
+    """key, reserved, committed, released: of what was granted what was used (never more than granted), and what goes back."""
+    committed = F.least(F.col("granted"), F.coalesce(used, F.lit(0)))
+    sums = granted.groupBy(key).agg(F.sum("granted").alias("reserved"), F.sum(committed).alias("committed"))
+    return sums.withColumn("released", F.col("reserved") - F.col("committed"))
+
+
 def share_of(column: Column, total: Column) -> Column:
     return F.try_divide(column, total)

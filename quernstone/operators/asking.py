@@ -92,6 +92,42 @@ def asked(texts: DataFrame, question: Question, scorer: Callable[[list[str]], li
     return one.mapInPandas(run, "content_hash string, question string, distribution array<int>")
 
 
+#: Failures in a row after which a worker asks no more.
+FAILURES = 5
+
+
+def asked_together(units: DataFrame, questions: tuple[Question, ...], scorer: Callable[[str, list[str]], dict[str, list[int]]]) -> DataFrame:
+    """content_hash, question, distribution, stopped: one request a text, for all questions it lacks.
+
+    ``units``: content_hash, text, missing (ids of questions).  Answers of a wrong width or sum are null, and so
+    are those of a request that failed; after FAILURES failed requests in a row the rest of the task's texts are
+    not asked (``stopped``) and stay as they are for the next run.
+    """
+    width = {q.id: len(q.options) for q in questions}
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        failed = 0
+        for p in parts:
+            rows = []
+            for key, text, missing in zip(p["content_hash"], p["text"], p["missing"]):
+                wanted, given = [q for q in missing if q in width], {}
+                stopped = failed >= FAILURES
+                if not stopped:
+                    try:
+                        given = scorer(text, wanted)
+                        failed = 0
+                    except Exception:
+                        failed += 1
+                for q in wanted:
+                    d = given.get(q)
+                    ok = d is not None and len(d) == width[q] and sum(d) == 100 and min(d) >= 0
+                    rows.append((key, q, d if ok else None, stopped))
+            yield pd.DataFrame(rows, columns=["content_hash", "question", "distribution", "stopped"])
+
+    one = units.where("content_hash IS NOT NULL AND text IS NOT NULL AND size(missing) > 0").select("content_hash", "text", "missing")
+    return one.mapInPandas(run, "content_hash string, question string, distribution array<int>, stopped boolean")
+
+
 def stop_reason(runs: DataFrame) -> DataFrame:
     """run_id, reason: of the reasons a run's parts stopped for the weightiest."""
     rank = F.array_position(F.array(*map(F.lit, STOPS)), F.col("reason"))

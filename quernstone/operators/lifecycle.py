@@ -130,6 +130,14 @@ def run_failures(crawls: DataFrame) -> DataFrame:
     return once(crawls).where(~F.col("outcome").isin(*SUCCESS)).select("run_id", "board_id", "id", "outcome", "http_status", "error_code")
 
 
+def etags(boards: DataFrame, items: DataFrame, crawls: DataFrame) -> DataFrame:
+    """board_id, etag to send next: none where the last listing held an invalid item, so that it is read again."""
+    last = once(crawls).where(F.col("outcome") == LISTED).groupBy("board_id").agg(F.max("id").alias("crawl_id"))
+    bad = items.where("kind = 'invalid'").select("crawl_id").distinct().join(last, "crawl_id", "left_semi").withColumn("bad", F.lit(True))
+    both = once(boards).select(F.col("id").alias("board_id"), "etag").join(last, "board_id", "left").join(bad, "crawl_id", "left")
+    return both.select("board_id", F.when(F.col("bad").isNull(), F.col("etag")).alias("etag"))
+
+
 def success_rate(crawls: DataFrame) -> DataFrame:
     """run_id, rate of listed and not-modified crawls; null without any."""
     ok = F.sum(F.col("outcome").isin(*SUCCESS).cast("int"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, numbers, text
 from ..operators import answers as A
+from ..operators import asking
 from ..tables import latest, table
 from .search import QUESTIONS
 
@@ -72,6 +73,31 @@ SELECT sum(postings)::BIGINT AS postings, count(*) AS texts, (sum(postings) * 2)
         texts = own.groupBy("content_hash").agg(F.min("description").alias("text"))
         return A.estimate(A.units(own, _contents(spark, sf), WANTED), texts, len(WANTED))
 
+    _len = "least(100, length(t) // 50)::INT"
+
+    @query(f"""WITH {_UNITS}, x AS (SELECT u.*, t FROM u JOIN (SELECT content_hash, min(description) AS t FROM criterion_postings GROUP BY 1) USING (content_hash) WHERE t IS NOT NULL), y AS (SELECT content_hash, unnest(missing) AS question, t FROM x)
+SELECT content_hash, question, CASE WHEN question = 'on_call' THEN CAST(100 - {_len} AS VARCHAR) || ',' || CAST({_len} AS VARCHAR) WHEN {_len} < 90 THEN CAST(100 - {_len} AS VARCHAR) || ',' || CAST({_len} AS VARCHAR) || ',0,0' END AS distribution, false AS stopped FROM y""")
+    def asked_missing(spark: SparkSession, sf: str):
+        """Each text asked once for all it lacks, of a scorer that stands in for a model and gives some unreadable answers."""
+
+        def scorer(text: str, questions: list[str]) -> dict[str, list[int]]:
+            n = min(100, len(text) // 50)
+            return {q: [100 - n, n] if q == "on_call" else [100 - n, n, 0, 0] if n < 90 else [100 - n, n] for q in questions}
+
+        own = _postings(spark, sf)
+        texts = own.groupBy("content_hash").agg(F.min("description").alias("text"))
+        out = asking.asked_together(A.units(own, _contents(spark, sf), WANTED).join(texts, "content_hash"), asking.STANDARD, scorer)
+        return out.withColumn("distribution", F.array_join(F.col("distribution").cast("array<string>"), ","))
+
+    @query("""WITH u AS (SELECT id, any_value(floor(posted_at / 86400000))::BIGINT AS day, len(any_value(title)) AS cost, len(any_value(company)) AS used FROM index_rows WHERE posted_at IS NOT NULL GROUP BY id),
+g AS (SELECT *, greatest(0, least(cost, 100 - coalesce(sum(cost) OVER (PARTITION BY day ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS granted FROM u)
+SELECT day, sum(granted)::BIGINT AS reserved, sum(least(granted, used))::BIGINT AS committed, sum(granted - least(granted, used))::BIGINT AS released FROM g GROUP BY day""")
+    def daily_spend(spark: SparkSession, sf: str):
+        """A limit of each day: what is reserved under it, what of that is used and what goes back."""
+        rows = latest(table(spark, sf, "index_rows"), ["id"], ["posted_at"]).where("posted_at IS NOT NULL")
+        units = rows.select("id", F.floor(F.col("posted_at") / 86_400_000).alias("day"), F.length("title").cast("bigint").alias("cost"), F.length("company").cast("bigint").alias("used"))
+        return A.settled(A.grants(units, "day", "id", "cost", 100), "day", "used")
+
     @query("WITH q AS (SELECT DISTINCT left(id, 10) AS prefix FROM index_rows), i AS (SELECT DISTINCT id FROM criterion_postings) SELECT prefix, min(id) AS id FROM q JOIN i ON starts_with(id, prefix) GROUP BY prefix HAVING count(*) = 1")
     def prefix_resolution(spark: SparkSession, sf: str):
         asked = table(spark, sf, "index_rows").select(F.left("id", F.lit(10)).alias("prefix"))

@@ -99,6 +99,12 @@ WHERE EXISTS (SELECT 1 FROM c WHERE c.board_id = f.board_id AND c.outcome = 'lis
         items, _, boards = t(spark, sf)
         return L.totals(boards, items)
 
+    @query(f"""WITH c AS ({_C}), l AS (SELECT board_id, max(id) AS m FROM c WHERE outcome = 'listed' GROUP BY 1), b AS (SELECT DISTINCT id, etag FROM boards)
+SELECT b.id AS board_id, CASE WHEN NOT EXISTS (SELECT 1 FROM board_listings i WHERE i.crawl_id = l.m AND i.kind = 'invalid') THEN etag END AS etag FROM b LEFT JOIN l ON l.board_id = b.id""")
+    def etags_to_send(spark: SparkSession, sf: str):
+        items, crawls, boards = t(spark, sf)
+        return L.etags(boards, items, crawls)
+
     @query("SELECT status, count(DISTINCT id) AS boards FROM boards GROUP BY status")
     def boards_by_status(spark: SparkSession, sf: str):
         return L.once(table(spark, sf, "boards")).groupBy("status").agg(F.count("*").alias("boards"))

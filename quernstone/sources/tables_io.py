@@ -21,8 +21,8 @@ def gazetteer(spark: SparkSession, cities: str, divisions: str, countries: str)
     read = lambda path, schema: spark.read.csv(path, schema=schema, sep="\t", comment="#", quote="")
     own = read(countries, "country string, iso3 string, num string, fips string, country_name string").select("country", "country_name")
     parts = read(divisions, "code string, division_name string, ascii string, id bigint").select("code", "division_name")
-    rows = read(cities, _CITY).join(F.broadcast(own), "country")
-    rows = rows.withColumn("code", F.concat_ws(".", "country", "division")).join(F.broadcast(parts), "code", "left")
+    rows = read(cities, _CITY).join(own, "country")
+    rows = rows.withColumn("code", F.concat_ws(".", "country", "division")).join(parts, "code", "left")
     latin = F.filter(F.array_distinct(F.split(F.coalesce("alternates", F.lit("")), ",")), lambda a: a.rlike(r"^[\p{IsLatin}\p{M}' .-]+$") & (F.lower(a) != F.lower(F.col("name"))))
     label = F.concat_ws(", ", "name", "division_name", "country_name")
     return rows.select(

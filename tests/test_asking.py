@@ -55,3 +55,15 @@ def test_seeds_sheets_ledgers_and_recordings(spark, tmp_path):
     assert key == tables_io.request_key("POST", "/x", {"a": 2, "b": 1})
     got = tables_io.replay(spark.createDataFrame([(key,), ("k",)], "key string"), spark.createDataFrame([(key, "yes")], "key string, answer string"))
     assert {r.key: r.answer for r in got.collect()} == {key: "yes", "k": None}
+
+
+def test_a_worker_stops_after_failures_in_a_row(spark):
+    def scorer(text, questions):
+        if text.startswith("bad"):
+            raise RuntimeError("no answer")
+        return {q: [40, 60] for q in questions}
+
+    rows = [("a", "good", ["on_call"]), *((f"b{i}", "bad", ["on_call"]) for i in range(6)), ("c", "good", ["on_call", "other"]), ("d", None, ["on_call"]), ("e", "good", [])]
+    units = spark.createDataFrame(rows, "content_hash string, text string, missing array<string>").coalesce(1)
+    got = {r.content_hash: (r.distribution, r.stopped) for r in asking.asked_together(units, asking.STANDARD, scorer).collect()}
+    assert got == {"a": ([40, 60], False), **{f"b{i}": (None, i == 5) for i in range(6)}, "c": (None, True)}
