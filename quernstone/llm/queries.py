@@ -80,13 +80,28 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _reposts(spark, sf).groups()
 
 
+def _named(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Links between class hashes as links between the classes' least ids."""
+    names = members.groupBy("class_hash").agg(F.min(key).alias("class"))
+    a, b = (names.select(F.col("class_hash").alias(f"h_{x}"), F.col("class").alias(x)) for x in "ab")
+    both = links.join(a, "h_a").join(b, "h_b")
+    return both.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), *[c for c in links.columns if c not in ("h_a", "h_b")])
+
+
+def _members(members: DataFrame, key: str) -> DataFrame:
+    return members.join(members.groupBy("class_hash").agg(F.min(key).alias("class")), "class_hash").select(key, "class")
+
+
 def p6_links(spark: SparkSession, sf: str) -> DataFrame:
     """class_a < class_b and their similarity: the links between different texts; ``p6_members`` has who is in a class."""
-    return _reposts(spark, sf).links().select(F.col("h_a").alias("class_a"), F.col("h_b").alias("class_b"), F.round("similarity", 9).alias("similarity"))
+    own = _reposts(spark, sf)
+    members = own.classes().select(F.col("k").alias("id"), F.col("h").alias("class_hash"))
+    return _named(own.links(), members, "id").withColumn("similarity", F.round("similarity", 9))
 
 
 def p6_members(spark: SparkSession, sf: str) -> DataFrame:
-    return _reposts(spark, sf).classes().select(F.col("k").alias("id"), F.col("h").alias("class"))
+    """id, class: texts of one set of word sequences; a class is named by its least id."""
+    return _members(_reposts(spark, sf).classes().select(F.col("k").alias("id"), F.col("h").alias("class_hash")), "id")
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,11 +123,13 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_links(spark: SparkSession, sf: str) -> DataFrame:
     """class_a < class_b: the links between different texts; ``p9_members`` has which documents are copies of one."""
-    return spans.Shared(table(spark, sf, "documents")).links().select(F.col("h_a").alias("class_a"), F.col("h_b").alias("class_b"))
+    own = spans.Shared(table(spark, sf, "documents"))
+    return _named(own.links(), own.classes().withColumnRenamed("h", "class_hash"), "doc_id")
 
 
 def p9_members(spark: SparkSession, sf: str) -> DataFrame:
-    return spans.Shared(table(spark, sf, "documents")).classes().withColumnRenamed("h", "class")
+    """doc_id, class: documents of one text; a class is named by its least id."""
+    return _members(spans.Shared(table(spark, sf, "documents")).classes().withColumnRenamed("h", "class_hash"), "doc_id")
 
 
 def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +140,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _WORDS = "list_transform(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
 
+_SETS = f"""d AS (SELECT DISTINCT id, {_WORDS.format("description")} AS w FROM criterion_postings WHERE description IS NOT NULL),
+s AS (SELECT DISTINCT id, md5_number(array_to_string(w[k:k + 2], ' ')) AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) >= 50)),
+m AS (SELECT id, min(id) OVER (PARTITION BY gs) AS class FROM (SELECT id, list(g ORDER BY g) AS gs FROM s GROUP BY id))"""
+_SPANS = """d AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE length(text) >= 320 GROUP BY text),
+g AS (SELECT doc_id, k, md5_number(substr(text, k, 320)) AS g FROM (SELECT *, unnest(range(1, length(text) - 318)) AS k FROM d))"""
+
 ORACLES: dict[str, str] = {
+    "p6_members": f"WITH {_SETS} SELECT id, class FROM m",
+    "p6_links": f"""WITH {_SETS}, r AS (SELECT DISTINCT class FROM m), o AS (SELECT s.* FROM s JOIN r ON r.class = s.id), n AS (SELECT id, count(*) AS n FROM o GROUP BY id),
+p AS (SELECT a.id AS class_a, b.id AS class_b, count(*) AS k FROM o a JOIN o b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT class_a, class_b, round(k / (x.n + y.n - k), 9) AS similarity FROM p JOIN n x ON x.id = class_a JOIN n y ON y.id = class_b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9""",
+    "p9_members": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class FROM (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 320)",
+    "p9_links": f"WITH {_SPANS} SELECT DISTINCT a.doc_id AS class_a, b.doc_id AS class_b FROM (SELECT DISTINCT doc_id, g FROM g) a JOIN (SELECT DISTINCT doc_id, g FROM g) b ON a.g = b.g AND a.doc_id < b.doc_id",
+    "p9_shared": f"""WITH {_SPANS}, c AS (SELECT text, count(DISTINCT doc_id) AS copies FROM documents GROUP BY text), s AS (SELECT g FROM g GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+p AS (SELECT doc_id, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS nxt FROM g WHERE g IN (SELECT g FROM s)), v AS (SELECT doc_id, sum(least(320, coalesce(nxt - k, 320)))::BIGINT AS part FROM p GROUP BY doc_id),
+x AS (SELECT text, length(text) AS n_chars, CASE WHEN copies > 1 THEN length(text) ELSE part END AS shared_chars FROM d JOIN c USING (text) LEFT JOIN v USING (doc_id))
+SELECT DISTINCT o.doc_id, x.n_chars, shared_chars, shared_chars / x.n_chars AS share FROM documents o JOIN x USING (text) WHERE shared_chars > 0""",
     **percentiles.SQL,
     "p6_found": f"""WITH d AS (SELECT DISTINCT id, {_WORDS.format("description")} AS w FROM criterion_postings WHERE description IS NOT NULL),
 s AS (SELECT DISTINCT id, md5_number(array_to_string(w[k:k + 2], ' ')) AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) >= 50)),
